@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_overlaps
 from .licenses import scan_licenses
+from .linededup import dedup_lines
 from .secrets import find_secrets
+from .warc import archive_round_trip
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +34,4 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_warc, op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
