@@ -7,12 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_overlaps
+from .fingerprints import compare_edited
+from .langid import fit, identify
 from .licenses import scan_licenses
 from .linededup import dedup_lines
+from .packing import pack_documents
 from .secrets import find_secrets
 from .warc import archive_round_trip
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,4 +56,4 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_warc, op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op4_best_fit_packing, op5_line_dedup, op6_warc, op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
