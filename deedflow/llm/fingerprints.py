@@ -27,22 +27,29 @@ from .common import MULT_A, MULT_B, U64, mix, partitions
 KMER = 6
 TAKEN = 2
 HASHES = 32
+BLOCK = 2048
 #: Expected number of candidates below the threshold that spares sorting whole rows of hashes.
 CANDIDATES = 24
 POSITION_BITS = 24
 RANGES_PER_PARTITION = 4
 LOWEST = -(1 << 63)
 
-MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U64) * MULT_A) | U64(1)
+MULTIPLIERS = mix(np.arange(1, HASHES // 2 + 1, dtype=U64) * MULT_A) | U64(1)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def numbered_kmers(codes: np.ndarray) -> np.ndarray:
     """A hash of each k-mer with the number of times that it occurred before."""
     n = max(1, len(codes) - KMER + 1)
-    h = np.zeros(n, U64)
-    for i in range(min(KMER, len(codes))):
-        h = h * MULT_B + codes[i : i + n].astype(U64) + U64(1)
+    span, width, h, done, left = codes.astype(U64) + U64(1), 1, None, 0, min(KMER, len(codes))
+    while left:  # hashes of spans of 1, 2, 4 ... characters, those of KMER's bits put together
+        if left & 1:
+            h = span[:n] if h is None else h * MULT_B + span[done : done + n]
+            done += width
+        left >>= 1
+        if left:
+            span = span[:-width] * MULT_A + span[width:]
+            width *= 2
     h = mix(h)
     if n < 1 << POSITION_BITS:
         key = np.sort(h >> U64(POSITION_BITS) << U64(POSITION_BITS) | np.arange(n, dtype=U64))
@@ -69,20 +76,15 @@ def fingerprint(text: str) -> np.ndarray:
     n = len(kmers)
     taken = min(TAKEN, n)
     if n > 4 * CANDIDATES:
-        least = U64(int(2**64 * CANDIDATES / n))
-        rows, cols = [], []
-        for i in range(HASHES):
-            values = kmers * MULTIPLIERS[i]
-            at = np.flatnonzero(values < least)
-            if len(at) < taken:
-                at = np.argpartition(values, taken)[:taken]
-            cols.append(at)
-            rows.append(np.full(len(at), i))
-        row, col = np.concatenate(rows), np.concatenate(cols)
+        flat = below(kmers, np.uint32(2**32 * CANDIDATES // n))
+        row, col = flat // n, flat % n
+        few = np.flatnonzero(np.bincount(row, minlength=HASHES) < taken)
+        if len(few):  # rare: their whole rows
+            some = ~np.isin(row, few)
+            row, col = np.concatenate([row[some], np.repeat(few, n)]), np.concatenate([col[some], np.tile(np.arange(n), len(few))])
     else:
         row, col = np.repeat(np.arange(HASHES), n), np.tile(np.arange(n), HASHES)
-    value = kmers[col] * MULTIPLIERS[row]
-    order = np.lexsort((col, value, row))
+    order = np.argsort(row.astype(U64) << U64(32) | hash_values(row, kmers[col]), kind="stable")
     start = np.searchsorted(row[order], np.arange(HASHES))
     chosen = np.sort(col[order][start[:, None] + np.arange(taken)], axis=1)  # in text order
     out = np.full(HASHES, taken, U64)
@@ -91,6 +93,23 @@ def fingerprint(text: str) -> np.ndarray:
     return (out >> U64(32)).astype(np.uint32)
 
 
+def below(kmers: np.ndarray, least: np.uint32) -> np.ndarray:
+    """Places hash * len(kmers) + k-mer of the hash values below a threshold, by blocks that fit a core's cache."""
+    n, found = len(kmers), []
+    for at in range(0, n, BLOCK):
+        block = kmers[at : at + BLOCK]
+        place = np.flatnonzero((MULTIPLIERS[:, None] * block).view(np.uint32) < least)
+        row, half = place // (2 * len(block)), place % (2 * len(block))
+        found.append((2 * row + half % 2) * n + half // 2 + at)
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def hash_values(row: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+    """Each product gives two hash functions: its low and its high half."""
+    product = kmers * MULTIPLIERS[row >> 1]
+    return np.where(row & 1 == 1, product >> U64(32), product & U64(0xFFFFFFFF))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
