@@ -1,3 +1,59 @@
-STAGES = []
+"""From raw documents to packed sequences: five stages, each an operator of ``deedflow.llm``.
+
+Every stage takes (spark, docs, sf_dir) and gives the documents that the next one reads; all but the last return the columns
+of documents.  ``run`` writes each stage's result to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deedflow.llm.common import materialize, table
+from deedflow.llm.decontaminate import drop_contaminated
+from deedflow.llm.jaccard import keep_one_of_each
+from deedflow.llm.langid import drop_unknown, fit
+from deedflow.llm.linededup import dedup_lines
+from deedflow.llm.packing import pack_documents
+from deedflow.llm.queries import tokenizer_path
+
+#: Near duplicates share this percentage of their shingles of so many words.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any text in a known language's letters go."""
+    return drop_unknown(docs, fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines leave the texts; every document stays, with its new length."""
+    return dedup_lines(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
+
+#: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

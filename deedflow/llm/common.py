@@ -129,17 +129,29 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words that start at each word; the last k-1 entries of the array are left out."""
-    n = len(hashes) - k + 1
+def span_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial hash of the k values that start at each place (len - k + 1 places), from spans of 1, 2, 4 ... values."""
+    n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = hashes[:n] * MULT_A
-    for i in range(1, k):
-        out = (out ^ (out >> U64(30))) * MULT_B + hashes[i : i + n]
+    span, width, step, out, done, left = values.astype(U64), 1, MULT_A, None, 0, k
+    while left:
+        if left & 1:
+            out = span[:n] if out is None else out[:n] * step + span[done : done + n]
+            done += width
+        left >>= 1
+        if left:
+            span = span[:-width] * step + span[width:]
+            width *= 2
+            step = U64(int(step) ** 2 & (1 << 64) - 1)
     return mix(out)
 
 
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words that start at each word; the last k-1 entries of the array are left out."""
+    return span_hashes(hashes, k)
+
+
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each word, from each row's first word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

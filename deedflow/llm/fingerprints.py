@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT_A, MULT_B, U64, mix, partitions
+from .common import MULT_A, MULT_B, U64, mix, partitions, span_hashes
 
 KMER = 6
 TAKEN = 2
@@ -41,16 +41,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def numbered_kmers(codes: np.ndarray) -> np.ndarray:
     """A hash of each k-mer with the number of times that it occurred before."""
     n = max(1, len(codes) - KMER + 1)
-    span, width, h, done, left = codes.astype(U64) + U64(1), 1, None, 0, min(KMER, len(codes))
-    while left:  # hashes of spans of 1, 2, 4 ... characters, those of KMER's bits put together
-        if left & 1:
-            h = span[:n] if h is None else h * MULT_B + span[done : done + n]
-            done += width
-        left >>= 1
-        if left:
-            span = span[:-width] * MULT_A + span[width:]
-            width *= 2
-    h = mix(h)
+    h = span_hashes(codes.astype(U64) + U64(1), min(KMER, len(codes)))
     if n < 1 << POSITION_BITS:
         key = np.sort(h >> U64(POSITION_BITS) << U64(POSITION_BITS) | np.arange(n, dtype=U64))
         at = (key & U64((1 << POSITION_BITS) - 1)).astype(np.int64)

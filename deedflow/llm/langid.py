@@ -158,3 +158,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def drop_unknown(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that aren't UNKNOWN, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.likelihood))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.__new__(Model)
+        own.langs, own.likelihood = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array([bool(own.infer(t)) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

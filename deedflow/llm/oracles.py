@@ -27,4 +27,18 @@ SELECT page_id, payload_bytes,
 FROM hashed JOIN keepers USING (h)
 """
 
-SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op6_warc": WARC}
+SUBSTRING_DEDUP = """
+WITH split_up AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM split_up WHERE len(w) >= 50),
+windows AS (SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS words FROM placed),
+firsts AS (SELECT words, min(doc_id) AS owner FROM windows GROUP BY words HAVING count(*) > 1),
+hits AS (SELECT doc_id, s FROM windows JOIN firsts USING (words) WHERE owner < doc_id),
+gone AS (SELECT DISTINCT doc_id, s + o AS i FROM hits, (SELECT unnest(range(0, 50)) AS o)),
+words AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split_up)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split_up d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN removed r ON r.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op7_substring_dedup": SUBSTRING_DEDUP, "op5_line_dedup": LINE_DEDUP, "op6_warc": WARC}

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_overlaps
 from .fingerprints import compare_edited
+from .jaccard import jaccard_components
 from .langid import fit, identify
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .packing import pack_documents
 from .secrets import find_secrets
+from .substrings import remove_repeats
 from .warc import archive_round_trip
 
 
@@ -31,6 +33,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +50,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -56,4 +67,4 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op4_best_fit_packing, op5_line_dedup, op6_warc, op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_ngram_jaccard_join, op4_best_fit_packing, op5_line_dedup, op6_warc, op7_substring_dedup, op8_secret_scans, op9_benchmark_decontamination, op10_license_scans)}
