@@ -8,13 +8,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 DEVANAGARI = "०१२३४५६७८९"
 QUOTES_FROM, QUOTES_TO = "’‘“”–—", "''\"\"--"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition: the one text function that Spark lacks."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

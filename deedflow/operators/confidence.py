@@ -66,10 +66,13 @@ def score_fields(fields: DataFrame) -> DataFrame:
 
 def score_records(fields: DataFrame) -> DataFrame:
     """One row per document: mean field confidence, completeness, record confidence and level."""
-    mean, filled = F.avg("confidence_score"), 100.0 * F.count_if(F.col("validation_status") != "missing") / F.count("*")
-    total = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), RECORD_WEIGHTS["fields"] * mean + RECORD_WEIGHTS["completeness"] * filled)), 2)
+    # scores have two digits: whole hundredths add up to the same sum in any order
+    mean = F.sum(F.round(F.col("confidence_score") * 100).cast("long")) / (100.0 * F.count("*"))
+    filled = 100.0 * F.count_if(F.col("validation_status") != "missing") / F.count("*")
+    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), RECORD_WEIGHTS["fields"] * mean + RECORD_WEIGHTS["completeness"] * filled))
+    half_up = lambda c: F.round(c + 1e-9, 2)  # noqa: E731  a half in decimal may be a little less in binary
     out = fields.groupBy("document_id").agg(
-        F.round(mean, 2).alias("mean_confidence"), F.round(filled, 2).alias("completeness"), total.alias("record_confidence"),
+        half_up(mean).alias("mean_confidence"), half_up(filled).alias("completeness"), half_up(total).alias("record_confidence"),
         F.count_if(F.col("confidence_review") == "required").alias("fields_to_review"),
     )
     return out.withColumn("record_level", level(F.col("record_confidence")))

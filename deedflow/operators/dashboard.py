@@ -80,7 +80,7 @@ def iso_utc(ts: Column) -> Column:
 
 
 def percent_text(c: Column) -> Column:
-    return F.format_string("%.2f%%", c)
+    return F.when(c.isNotNull(), F.format_string("%.2f%%", c))
 
 
 def percent_value(c: Column) -> Column:
