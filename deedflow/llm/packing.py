@@ -13,12 +13,12 @@ each on their own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,37 +27,37 @@ from .common import materialize, worker_cache
 CAPACITY = 1024
 END_ID = 2
 BUCKETS = 256
-CACHED_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: The pre-tokenizer of byte-level BPE, and the characters for which this library and tokenizers' agree on its classes.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|<\|")
+#: The pre-tokenizer of byte-level BPE, and the characters for which both libraries agree on its classes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNSURE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]|<\|")
+
+
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes; words' ids are kept, as byte-level BPE never merges across words."""
+    """Ids of a tokenizers file.  Its vocabulary is in order of merging, so it serves as ranks for the faster library, which
+    gives the same ids; texts with characters that the two might class differently go through tokenizers itself."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer, of = Tokenizer.from_file(path), byte_characters()
+        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        ranks = {bytes(of[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if i not in special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if UNSURE.search(text):
-            return self.whole(text)
-        parts, known = SPLIT.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for p in set(parts) - known.keys():
-                known[p] = self.whole(p)
-            return b"".join([known[p] for p in parts])
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.fast.encode_to_numpy(text), "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
