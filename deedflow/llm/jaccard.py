@@ -6,12 +6,12 @@ to 64-bit hashes of shingles.
 1. Equal sets become one class; only classes are joined.
 2. Shingles are ordered from rare to frequent (by a count sketch of fixed size over all documents, ties by hash), and each
    class lists the first of them, so many that two similar sets must share one.  Entries carry set size and position.
-3. Within a list, every set is compared with the list's least member, the leader, after filters on size, position and a
-   count sketch of the set.  These are star pairs: linear in the list, however long.  For each, the overlap and both
+3. Within a list, every set is compared with the list's leader, the member with the fewest rarer shingles (of edited copies,
+   the one with the fewest edits), after filters on size, position and a count sketch of the set.  These are star pairs: linear in the list, however long.  For each, the overlap and both
    differences (shingles only the one, only the other has) are kept: the leader's computed answers.
-4. What lists may still hide are links between two members that are not linked through one leader.  Each list is cut into
-   blocks of equal size, position and leader's link; blocks are paired only if size and position allow it and they hang on
-   different leaders, so others are skipped whole.  For a remaining pair whose members both were compared with the
+4. What lists may still hide are links between two members that star pairs do not connect.  Each list is cut into blocks of
+   equal size, position and component by star pairs; blocks are paired only if size and position allow it and they are of
+   different components, so others are skipped whole.  For a remaining pair whose members both were compared with the
    list's leader, the overlap follows from the leader's answers by the small differences alone; the rest are
    compared as whole sets.
 5. Components of the links give the smallest reachable doc_id.
@@ -231,7 +231,7 @@ def allowed(na, nb, ia, ib, percent: int) -> F.Column:
 def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) links between classes that connect all that are similar, directly or through others."""
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("i", "token"))
-    leaders = entries.groupBy("token").agg(F.min(F.struct("cid", "n", "i")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    leaders = entries.groupBy("token").agg(F.min(F.struct("i", "cid", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     shared = materialize(
         entries.join(leaders.select("token", "size", F.col("lead.cid").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.i").alias("li")), "token").filter("cid <> leader")
     )
@@ -242,12 +242,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
     answers = materialize(compare(stars, sets, percent, differences=True))
     linked = answers.filter("linked").select("a", "b")
 
-    # Lists of three and more, cut into blocks; a block's label is the leader that its members are linked with.
-    label = linked.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("label"))
-    leads = linked.select(F.col("a").alias("cid")).distinct().select("cid", F.col("cid").alias("own"))
+    # Lists of three and more, cut into blocks; a block's label is what its members are connected with by star pairs.
+    label = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("cid"), F.col("root").alias("label"))
     blocks = (
-        shared.filter("size > 2").join(label, "cid", "left").join(leads, "cid", "left")
-        .withColumn("label", F.least(F.col("label"), F.coalesce("own", "cid")))
+        shared.filter("size > 2").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         .groupBy("token", "leader", "n", "i", "label", F.pmod("cid", F.lit(16)).alias("part"))
         .agg(F.collect_list("cid").alias("members"))
     )
