@@ -62,15 +62,15 @@ def entropy_span(candidate: str) -> tuple[int, int] | None:
     total, first, last = 0.0, None, 0
     least = math.log2(WINDOW) - THRESHOLDS[kind]
     for i, c in enumerate(candidate):
-        n = counts.get(c, 0)
-        total += N_LOG_N[n + 1] - N_LOG_N[n]
-        counts[c] = n + 1
         if i >= WINDOW:
             old = candidate[i - WINDOW]
             n = counts[old]
             total -= N_LOG_N[n] - N_LOG_N[n - 1]
             counts[old] = n - 1
-        if i >= WINDOW - 1 and total / WINDOW <= least:
+        n = counts.get(c, 0)
+        total += N_LOG_N[n + 1] - N_LOG_N[n]
+        counts[c] = n + 1
+        if i >= WINDOW - 1 and total / WINDOW <= least + 1e-9:
             first = i - WINDOW + 1 if first is None else first
             last = i + 1
     return None if first is None else (first, last)
