@@ -9,6 +9,8 @@ from ..catalog import LAYOUT, LAYOUT_LABELS, SECTIONS
 from ..functions.text import blank, collapse, match_form
 
 PAGE = ["document_id", "page"]
+#: A half in decimal may be a little less in binary.
+HALF_UP = 1e-9
 
 
 def usable_words(words: DataFrame) -> DataFrame:
@@ -17,13 +19,13 @@ def usable_words(words: DataFrame) -> DataFrame:
 
 
 def page_confidence(words: DataFrame) -> DataFrame:
-    return words.groupBy(*PAGE).agg(F.round(F.coalesce(F.avg("conf"), F.lit(0.0)), 2).alias("confidence"), F.count("*").alias("word_count"))
+    return words.groupBy(*PAGE).agg(F.round(F.coalesce(F.avg("conf"), F.lit(0.0)) + HALF_UP, 2).alias("confidence"), F.count("*").alias("word_count"))
 
 
 def document_confidence(pages: DataFrame) -> DataFrame:
     """Mean of the pages' rounded means, weighted by words."""
     total = F.sum("word_count")
-    return pages.groupBy("document_id").agg(F.round(F.coalesce(F.sum(F.col("confidence") * F.col("word_count")) / F.nullif(total, F.lit(0)), F.lit(0.0)), 2).alias("document_confidence"), F.count("*").alias("page_count"), total.alias("word_count"))
+    return pages.groupBy("document_id").agg(F.round(F.coalesce(F.sum(F.col("confidence") * F.col("word_count")) / F.nullif(total, F.lit(0)), F.lit(0.0)) + HALF_UP, 2).alias("document_confidence"), F.count("*").alias("page_count"), total.alias("word_count"))
 
 
 def ordered_text(rows: DataFrame, keys: list[str], order: str, sep: str, name: str = "text") -> DataFrame:
@@ -57,7 +59,7 @@ def boxes(rows: DataFrame, keys: list[str], order: list[str], sep: str) -> DataF
     right, bottom = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
     return rows.groupBy(*keys).agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), sep).alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("width"), (bottom - F.min("y")).alias("height"),
-        F.round(F.avg(F.coalesce(F.col("conf"), F.lit(0.0))), 2).alias("conf"), F.count("*").alias("n"),
+        F.round(F.avg(F.coalesce(F.col("conf"), F.lit(0.0))) + HALF_UP, 2).alias("conf"), F.count("*").alias("n"),
     )
 
 

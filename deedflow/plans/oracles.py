@@ -187,10 +187,10 @@ SQL["upload_filter"] = f"SELECT document_id, original_filename, size FROM {REG}
 SQL["upload_prepend"] = f"SELECT document_id, CASE WHEN document_id LIKE '%7' THEN 'Queued' ELSE status END AS status FROM {REG} r"
 SQL["status_latest"] = f"SELECT 'U' || user_id::VARCHAR AS document_id, arg_max(status, substr(document_id, 5)::BIGINT) AS status, max(substr(document_id, 5)::BIGINT) AS event_seq, count(*) AS n_changes FROM {REG} r GROUP BY user_id"
 
-SQL["ocr_page_conf"] = f"SELECT document_id, page, round(avg(conf), 2) AS confidence, count(*) AS word_count FROM {WORDS} w GROUP BY ALL"
-SQL["ocr_doc_conf"] = f"WITH p AS (SELECT document_id, (idx // 60)::INT AS page, round(avg(conf), 2) AS c, count(*) AS n FROM {WORDS} w GROUP BY ALL) SELECT document_id, round(sum(c * n) / sum(n), 2) AS document_confidence, count(*) AS page_count, sum(n)::BIGINT AS word_count FROM p GROUP BY document_id"
+SQL["ocr_page_conf"] = f"SELECT document_id, page, round(avg(conf) + 1e-9, 2) AS confidence, count(*) AS word_count FROM {WORDS} w GROUP BY ALL"
+SQL["ocr_doc_conf"] = f"WITH p AS (SELECT document_id, (idx // 60)::INT AS page, round(avg(conf) + 1e-9, 2) AS c, count(*) AS n FROM {WORDS} w GROUP BY ALL) SELECT document_id, round(sum(c * n) / sum(n) + 1e-9, 2) AS document_confidence, count(*) AS page_count, sum(n)::BIGINT AS word_count FROM p GROUP BY document_id"
 SQL["ocr_text"] = f"WITH p AS (SELECT document_id, idx // 60 AS page, string_agg(text, ' ' ORDER BY idx) AS t FROM {WORDS} w GROUP BY ALL) SELECT document_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS text_sha256 FROM p GROUP BY document_id"
-BOX = "min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, round(avg(conf), 2) AS conf, count(*) AS n"
+BOX = "min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, round(avg(conf) + 1e-9, 2) AS conf, count(*) AS n"
 SQL["layout_lines"] = f"""WITH RECURSIVE w AS (SELECT *, y + height / 2 AS cy FROM {WORDS} w), t AS (SELECT document_id, greatest(15.0, 0.6 * median(height)) AS tol FROM w GROUP BY document_id),
 o AS (SELECT w.*, tol, row_number() OVER (PARTITION BY w.document_id ORDER BY cy, x, idx) AS i FROM w JOIN t ON t.document_id = w.document_id),
 f AS (SELECT document_id, i, 1 AS line_no, cy AS total, 1 AS n FROM o WHERE i = 1
