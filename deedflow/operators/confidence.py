@@ -55,13 +55,12 @@ def score_fields(fields: DataFrame) -> DataFrame:
         return F.struct(*[x["p"][c].alias(c) for c in "evns"], x["score"].alias("score"), why.alias("why"))
 
     row = F.struct(F.coalesce("validation_status", F.lit("not_checked")).alias("status"), "evidence_type", "normalization_status", "source_text", "n_source_lines", "source_page", "matched_label")
-    out = fields.withColumn("_c", let(let(let(row, parts), scored), reasoned))
-    for name, c in (("evidence_score", "e"), ("validation_score", "v"), ("normalization_score", "n"), ("source_score", "s"), ("confidence_score", "score")):
-        out = out.withColumn(name, F.col(f"_c.{c}"))
-    return (
-        out.withColumn("confidence_level", level(F.col("confidence_score"))).withColumn("confidence_review", F.when(F.col("_c.why") != "", "required").otherwise("not_required"))
-        .withColumn("confidence_reason", F.when(F.col("_c.why") != "", F.col("_c.why")).otherwise("Field has sufficient supporting evidence.")).drop("_c")
-    )
+    score, why = F.col("_c.score"), F.col("_c.why")
+    return fields.withColumn("_c", let(let(let(row, parts), scored), reasoned)).withColumns({
+        "evidence_score": F.col("_c.e"), "validation_score": F.col("_c.v"), "normalization_score": F.col("_c.n"), "source_score": F.col("_c.s"), "confidence_score": score,
+        "confidence_level": level(score), "confidence_review": F.when(why != "", "required").otherwise("not_required"),
+        "confidence_reason": F.when(why != "", why).otherwise("Field has sufficient supporting evidence."),
+    }).drop("_c")
 
 
 def score_records(fields: DataFrame) -> DataFrame:

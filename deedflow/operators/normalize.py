@@ -76,12 +76,11 @@ def normalize_fields(fields: DataFrame, compose: bool = True) -> DataFrame:
         .otherwise(text_value(v, compose))
     )
     area = F.when(F.col("normalizer") == "area", area_value(v, compose)).otherwise(F.struct(rule.alias("text"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(False).alias("structured")))
-    return (
-        fields.withColumn("_n", area).withColumn("raw_value", v).withColumn("normalized_value", F.col("_n.text"))
-        .withColumn("area_value", F.col("_n.value")).withColumn("area_unit", F.col("_n.unit")).withColumn("area_structured", F.col("_n.structured"))
-        .withColumn("normalization_status", F.when(F.col("normalized_value").isNull(), "missing").otherwise("normalized"))
-        .drop("_n")
-    )
+    text = F.col("_n.text")
+    return fields.withColumn("_n", area).withColumns({
+        "raw_value": v, "normalized_value": text, "area_value": F.col("_n.value"), "area_unit": F.col("_n.unit"), "area_structured": F.col("_n.structured"),
+        "normalization_status": F.when(text.isNull(), "missing").otherwise("normalized"),
+    }).drop("_n")
 
 
 def normalization_summary(fields: DataFrame, keys: list[str]) -> DataFrame:

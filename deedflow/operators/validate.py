@@ -94,7 +94,7 @@ def validate_fields(fields: DataFrame) -> DataFrame:
         return F.struct(j["issues"].alias("issues"), F.when(~j["missing"] & ~j["checked"], "not_checked").otherwise(status_of(j["issues"], j["missing"])).alias("status"))
 
     row = F.struct("field", "normalized_value", "area_value", "area_unit", "area_structured", "validator")
-    return fields.withColumn("_v", let(let(row, judged), status)).withColumn("validation_issues", F.col("_v.issues")).withColumn("validation_status", F.col("_v.status")).drop("_v")
+    return fields.withColumn("_v", let(let(row, judged), status)).withColumns({"validation_issues": F.col("_v.issues"), "validation_status": F.col("_v.status")}).drop("_v")
 
 
 def cross_field_issues(fields: DataFrame) -> DataFrame:

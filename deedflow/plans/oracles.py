@@ -118,7 +118,7 @@ SQL["conf_level_counts"] = f"WITH {SCORED} SELECT field, level AS confidence_lev
 LEVEL = "CASE WHEN {0} >= 85 THEN 'high' WHEN {0} >= 65 THEN 'medium' WHEN {0} >= 40 THEN 'low' ELSE 'critical' END"
 RECORDS = "r1 AS (SELECT document_id, sum(round(score * 100)::BIGINT) / (100.0::DOUBLE * count(*)) AS mean, 100.0::DOUBLE * count(*) FILTER (WHERE status <> 'missing') / count(*) AS filled, count(*) FILTER (WHERE review = 'required') AS fields_to_review FROM scored GROUP BY document_id), records AS (SELECT document_id, round(mean + 1e-9, 2) AS mean_confidence, round(filled + 1e-9, 2) AS completeness, round(0.75::DOUBLE * mean + 0.25::DOUBLE * filled + 1e-9, 2) AS record_confidence, fields_to_review FROM r1)"
 SQL["conf_record"] = f"WITH {SCORED}, {RECORDS} SELECT *, {LEVEL.format('record_confidence')} AS record_level FROM records"
-SQL["flagship"] = f"""WITH {SCORED}, {RECORDS} SELECT district, {LEVEL.format('record_confidence')} AS record_level, count(*) AS records, round(avg(record_confidence), 4) AS mean_confidence
+SQL["flagship"] = f"""WITH {SCORED}, {RECORDS} SELECT district, {LEVEL.format('record_confidence')} AS record_level, count(*) AS records, round(sum(round(record_confidence * 100)::BIGINT) / (100.0::DOUBLE * count(*)) + 1e-9, 4) AS mean_confidence
 FROM records JOIN (SELECT document_id, v AS district FROM normalized WHERE field = 'district') USING (document_id) GROUP BY ALL"""
 
 BIT = lookup("field", {n: 1 << i for i, n in enumerate(IDENTIFIERS)}, 0)

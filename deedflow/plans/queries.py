@@ -501,4 +501,4 @@ def flagship(spark, sf_dir):
     fields = scored(spark, sf_dir)
     district = F.max(F.when(F.col("field") == "district", F.col("normalized_value"))).alias("district")
     records = confidence.score_records(fields).join(fields.groupBy("document_id").agg(district), "document_id")
-    return records.groupBy("district", "record_level").agg(F.count("*").alias("records"), F.round(F.avg("record_confidence"), 4).alias("mean_confidence"))
+    return records.groupBy("district", "record_level").agg(F.count("*").alias("records"), F.round(F.sum(F.round(F.col("record_confidence") * 100).cast("long")) / (100.0 * F.count("*")) + 1e-9, 4).alias("mean_confidence"))
