@@ -12,7 +12,7 @@ import numpy as np
 
 from .common import U64
 
-SAMPLED = 8
+SAMPLED = 4
 
 
 class Bits:
@@ -45,14 +45,14 @@ class WaveletMatrix:
             ones = bits.ones(begin)
             begin = np.where(starts >> shift & 1, zeros + ones, begin - ones)
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
-        self.begin = begin  # where each symbol's run begins at the end
+        self.begin = begin.astype(np.uint32)  # where each symbol's run begins at the end
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of the symbol before place i."""
         for shift, bits, zeros in self.levels:
             ones = bits.ones(i)
             i = np.where(symbol >> shift & 1, zeros + ones, i - ones)
-        return i - self.begin[symbol]
+        return i - self.begin[symbol].astype(np.int64)
 
     def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols at the places, and their ranks there."""
@@ -61,7 +61,7 @@ class WaveletMatrix:
             one, ones = bits.at(i), bits.ones(i)
             symbol |= one.astype(np.int64) << shift
             i = np.where(one, zeros + ones, i - ones)
-        return symbol, i - self.begin[symbol]
+        return symbol, i - self.begin[symbol].astype(np.int64)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class FMIndex:
         symbols[-1] = 0
         self.text = symbols.astype(np.uint32)
         order = suffix_array(symbols)
-        self.count = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=len(self.vocabulary) + 2))])
+        self.count = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=len(self.vocabulary) + 2))]).astype(np.uint32)
         self.matrix = WaveletMatrix(symbols[order - 1], len(self.vocabulary) + 2)
         sampled = order % SAMPLED == 0
         self.marks, self.samples = Bits(sampled), order[sampled].astype(np.uint32)
@@ -123,10 +123,12 @@ class FMIndex:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 2, -1)
 
-    def search(self, hashes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the patterns hashes[s : s + length]: which occur, and their ranges of suffixes."""
+    def search(self, hashes: np.ndarray, starts: np.ndarray, length: int, few: int, least: int) -> tuple[np.ndarray, ...]:
+        """Backward search of the patterns hashes[s : s + length]: which may occur, their ranges of suffixes and how many of
+        their last words are matched.  A search ends early once few suffixes are left after the least number of words."""
         live = np.arange(len(starts))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
         for back in range(length - 1, -1, -1):
             symbol = self.numbers(hashes[starts[live] + back])
             known = symbol >= 0
@@ -134,14 +136,23 @@ class FMIndex:
             if back < length - 1:
                 n = len(low)
                 ranks = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-                low, high = self.count[symbol] + ranks[:n], self.count[symbol] + ranks[n:]
+                before = self.count[symbol].astype(np.int64)
+                low, high = before + ranks[:n], before + ranks[n:]
             else:
-                low, high = self.count[symbol], self.count[symbol + 1]
+                low, high = self.count[symbol].astype(np.int64), self.count[symbol + 1].astype(np.int64)
             some = low < high
+            ends = some & ((high - low <= few) & (length - back >= least) | (back == 0))
+            if ends.any():
+                found.append((live[ends], low[ends], high[ends], np.full(int(ends.sum()), length - back)))
+            some &= ~ends
             live, low, high = live[some], low[some], high[some]
             if not len(live):
                 break
-        return live, low, high
+        if not found:
+            return (np.zeros(0, np.int64),) * 4
+        live, low, high, matched = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(live)
+        return live[order], low[order], high[order], matched[order]
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes."""
@@ -154,9 +165,15 @@ class FMIndex:
             live, row = live[~there], row[~there]
             if len(live):
                 symbol, rank = self.matrix.access(row)
-                row = self.count[symbol] + rank
+                row = self.count[symbol].astype(np.int64) + rank
                 walked[live] += 1
         return out
 
+    def words_at(self, position: np.ndarray) -> np.ndarray:
+        """Hashes of the words at text positions; 0, which no word has, at divisions and outside."""
+        inside = (position >= 0) & (position < len(self.text))
+        symbol = self.text[np.where(inside, position, 0)].astype(np.int64)
+        return np.where(inside & (symbol >= 2), self.vocabulary[np.maximum(symbol - 2, 0)], U64(0))
+
     def doc_at(self, position: np.ndarray) -> np.ndarray:
         return self.docs[np.searchsorted(self.firsts, position, "right") - 1]

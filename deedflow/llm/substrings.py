@@ -10,11 +10,12 @@ smaller doc_id.
    its owner alone brings it into the library.
 2. Shards of the library become compressed FM-indexes, a task each.
 3. Documents stream past the indexes.  Every match of a window covers one whole block of BLOCK words that starts at a
-   multiple of BLOCK; blocks are searched backwards over the wavelet matrix, all of a batch at once.  Where a block
-   occurs, the match is extended to both sides: the matching statistics around it.  Stretches of a window's length or more
+   multiple of BLOCK; blocks within windows that pass the filter are searched backwards over the wavelet matrix, all of a
+   batch at once, until they are known not to occur or few places are left.  There the match is extended to both sides: the
+   matching statistics around the block.  Stretches of a window's length or more
    whose owner has a smaller id are reported and removed.
 
-The filter and the hashes only choose what is indexed; matches are found in the index.  Indexes are sent to all tasks in rounds
+The filter and the hashes only choose what is indexed; matches are found in the index.  Tasks read the indexes from the shared folder in rounds
 of at most ``SHIP_BYTES``; one round removes the words where the document is, more rounds write their stretches, which then
 join the documents.
 
@@ -24,21 +25,27 @@ smaller; kept words are joined by one space.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_i64, binary, gram_hashes, materialize, mix, rows_of, text_chunks, words
+from .common import U64, as_i64, binary, gram_hashes, materialize, mix, rows_of, scratch, text_chunks, words, worker_cache
 from .fmindex import FMIndex
 
 WINDOW = 50
 ANCHOR = 20
 BLOCK = 25
+#: A block's search ends when so few places are left after so many words; they are compared directly.
+FEW_PLACES, LEAST_MATCHED = 4, 4
+PLACES_AT_ONCE = 20_000
 SHARD_WORDS = 1 << 21
-SHIP_BYTES = 128 << 20
+SHIP_BYTES = 160 << 20
 #: The filter has so many bits a key, up to a bound; a full filter lets more windows through and changes no result.
 BITS_PER_KEY = 16
 MAX_FILTER_BITS = 28
@@ -137,8 +144,8 @@ def in_bloom(packed: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(hash, owner) of the windows that documents of more than one id hold."""
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(hash, owner) of the windows that documents of more than one id hold, and the filter of their anchors."""
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, hashes, first in _chunks(batch.column(1)):
@@ -158,7 +165,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                     row, value = _distinct(rows_of(first)[starts], gram_hashes(hashes, WINDOW)[starts])
                     yield pa.RecordBatch.from_arrays([pa.array(as_i64(value)), batch.column(0).take(pa.array(row + at))], ["hash", "doc_id"])
 
-    return _repeated(docs, windows)
+    return _repeated(docs, windows), kept
 
 
 def library(docs: DataFrame, owned: DataFrame) -> DataFrame:
@@ -189,86 +196,132 @@ def library(docs: DataFrame, owned: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "own").mapInArrow(run, "doc_id long, n long, words binary")
 
 
-def build_indexes(passages: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, size, blob): an FM-index of each shard of the library."""
+def build_indexes(passages: DataFrame, n_shards: int, folder: str) -> DataFrame:
+    """(shard, size, path): an FM-index of each shard of the library, written by its task to the shared folder under a name
+    of its own; only those of tasks that ended are named."""
     def build(group: pa.Table) -> pa.Table:
-        index = FMIndex([np.frombuffer(x, U64) for x in group.column("words").to_pylist()], group.column("doc_id").to_pylist())
-        blob = index.dump()
-        return pa.table({"shard": group.column("shard").slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "blob": binary([blob])})
+        blob = FMIndex([np.frombuffer(x, U64) for x in group.column("words").to_pylist()], group.column("doc_id").to_pylist()).dump()
+        fs, inner = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(inner, recursive=True)
+        name = f"{uuid.uuid4().hex}.fm"
+        with fs.open_output_stream(f"{inner}/{name}") as out:
+            out.write(blob)
+        return pa.table({"shard": group.column("shard").slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "path": pa.array([f"{folder}/{name}"])})
 
     shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("words")), F.lit(n_shards)).cast("long")
-    return passages.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, size long, blob binary")
-
-
-def covered(index: FMIndex, hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches [start, end) of words to remove: matches of a window's length with documents of smaller id."""
+    return passages.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, size long, path string")
+
+
+def opened(paths: list[str]) -> list[FMIndex]:
+    """The indexes of these files; a worker keeps those of the round it is in."""
+    kept = worker_cache().setdefault("indexes", {})
+    for path in set(kept) - set(paths):
+        del kept[path]
+    for path in paths:
+        if path not in kept:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(inner) as file:
+                kept[path] = FMIndex.load(file.read())
+    return [kept[path] for path in paths]
+
+
+def candidate_blocks(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, kept: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and start of the blocks that lie in a window whose anchor passes the filter."""
+    w = Windows(hashes, first)
+    some = w.starts[in_bloom(*kept, w.least)]
+    inside = np.zeros(len(hashes) + 1, np.int64)  # windows that begin before each word
+    inside[some + 1] = 1
+    inside = np.cumsum(inside)
     counts = np.diff(first)
     blocks = np.where((counts >= WINDOW) & known, counts // BLOCK, 0)
     row = np.repeat(np.arange(len(counts)), blocks)
     starts = first[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    live, low, high = index.search(hashes, starts, BLOCK)
+    within = inside[starts + 1] > inside[np.maximum(starts - (WINDOW - BLOCK), first[row])]
+    return row[within], starts[within]
+
+
+def covered(index: FMIndex, hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches [start, end) of words to remove: matches of a window's length with documents of smaller id."""
+    live, low, high, matched = index.search(hashes, starts, BLOCK, FEW_PLACES, LEAST_MATCHED)
     if not len(live):
         return
+    # a block may occur in many passages: places are taken by some rows at a time
+    rows, places = row[live], np.cumsum(high - low)
+    start = 0
+    while start < len(live):
+        taken = places[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(places, taken + PLACES_AT_ONCE, "right")))
+        end = int(np.searchsorted(rows, rows[end - 1], "right"))
+        part = slice(start, end)
+        yield from _stretches(index, hashes, first, ids, row, starts, live[part], low[part], high[part], matched[part])
+        start = end
+
+
+def _stretches(index: FMIndex, hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, row: np.ndarray, starts: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray, matched: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of some rows' blocks (live), whose last matched words occur at the suffixes from low to high."""
     n = high - low
-    hit = np.repeat(live, n)
+    hit, length = np.repeat(live, n), np.repeat(matched, n)
     suffix = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place = index.locate(suffix)
     smaller = index.doc_at(place) < ids[row[hit]]
-    hit, place = hit[smaller], place[smaller]
-    end: dict[int, int] = {}  # of a match's diagonal (place in the index less place here), where its last stretch ended
-    for q, p, r in zip(starts[hit].tolist(), place.tolist(), row[hit].tolist(), strict=True):
-        if end.get(p - q, -1) > q:
-            continue  # the stretch found from an earlier block goes through here
-        left = _common(index, hashes[first[r] : q][::-1], p, -1)
-        right = _common(index, hashes[q + BLOCK : first[r + 1]], p + BLOCK, 1)
-        end[p - q] = q + BLOCK + right
-        if left + BLOCK + right >= WINDOW:
-            yield q - left, q + BLOCK + right
-
-
-def _common(index: FMIndex, hashes: np.ndarray, place: int, way: int) -> int:
-    """How many of the words go on as the index's text does, from a place on or before it."""
-    done, step = 0, 64
-    while done < len(hashes):
-        some = index.numbers(hashes[done : done + step])
-        text = index.text[place + done : place + done + len(some)] if way > 0 else index.text[max(0, place - done - len(some)) : place - done][::-1]
-        some = some[: len(text)]
-        differ = np.flatnonzero(some != text)
-        if len(differ):
-            return done + int(differ[0])
-        done += len(some)
-        if len(text) < step:
-            return done
-        step *= 4
-    return done
-
-
-def _matches(indexes: list[FMIndex], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    hit, place, length = hit[smaller], place[smaller], length[smaller]
+    # whole blocks, by row and diagonal (place in the index less place here)
+    q, p = starts[hit], place - (BLOCK - length)
+    whole = (index.words_at(p[:, None] + np.arange(BLOCK)) == hashes[q[:, None] + np.arange(BLOCK)]).all(axis=1)
+    q, p, r = q[whole], p[whole], row[hit[whole]]
+    order = np.lexsort((q, p - q, r))
+    q, p, r = q[order], p[order], r[order]
+    if not len(q):
+        return
+    # neighbouring blocks on a diagonal are one stretch; it goes on for less than a block at either end
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (r[1:] != r[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (q[1:] - q[:-1] != BLOCK)
+    begin = np.flatnonzero(fresh)
+    last = np.append(begin[1:], len(q)) - 1
+    row_start, row_end = first[r[begin]], first[r[begin] + 1]
+    left = _common(index, hashes, q[begin] - 1, p[begin] - 1, -1, row_start, row_end)
+    right = _common(index, hashes, q[last] + BLOCK, p[last] + BLOCK, 1, row_start, row_end)
+    start, end = q[begin] - left, q[last] + BLOCK + right
+    enough = end - start >= WINDOW
+    yield from zip(start[enough].tolist(), end[enough].tolist(), strict=True)
+
+
+def _common(index: FMIndex, hashes: np.ndarray, here: np.ndarray, there: np.ndarray, way: int, row_start: np.ndarray, row_end: np.ndarray) -> np.ndarray:
+    """How many words go on alike from each place on (way 1) or back (way -1), within the row, up to a block."""
+    steps = way * np.arange(BLOCK)
+    at = here[:, None] + steps
+    inside = (at >= row_start[:, None]) & (at < row_end[:, None])
+    same = inside & (hashes[np.where(inside, at, 0)] == index.words_at(there[:, None] + steps))
+    return np.where(same.all(axis=1), BLOCK, np.argmin(same, axis=1))
+
+
+def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
     """For each chunk of a batch (doc_id, text, ...): first row, each row's first word, stretches of all indexes."""
     ids = batch.column(0)
     known = ~ids.is_null().to_numpy(zero_copy_only=False)
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
     for at, hashes, first in _chunks(batch.column(1)):
         rows = slice(at, at + len(first) - 1)
-        yield at, first, [x for index in indexes for x in covered(index, hashes, first, ids[rows], known[rows])]
+        row, starts = candidate_blocks(hashes, first, known[rows], kept)
+        yield at, first, [x for index in indexes for x in covered(index, hashes, first, ids[rows], row, starts)]
 
 
 def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, text of the kept words."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    passages = materialize(library(docs, repeated_windows(docs)))
+    windows, anchors = repeated_windows(docs)
+    passages = materialize(library(docs, windows))
     n_words = passages.agg(F.sum("n")).first()[0] or 0
-    shards = materialize(build_indexes(passages, max(1, -(-n_words // shard_words))))
-    rounds: list[list[int]] = [[]]
+    shards = materialize(build_indexes(passages, max(1, -(-n_words // shard_words)), scratch(spark)))
+    rounds: list[list[str]] = [[]]
     room = ship_bytes
-    for r in shards.select("shard", "size").orderBy("shard").collect():
+    for r in shards.orderBy("shard").collect():
         if r["size"] > room and rounds[-1]:
             rounds.append([])
             room = ship_bytes
-        rounds[-1].append(r["shard"])
+        rounds[-1].append(r["path"])
         room -= r["size"]
-    sent = lambda some: spark.sparkContext.broadcast([bytes(r["blob"]) for r in shards.filter(F.col("shard").isin(some)).select("blob").collect()])
 
     def kept(part: pa.RecordBatch, at: int, first: np.ndarray, stretches: list[tuple[int, int]]) -> pa.RecordBatch:
         gone = np.zeros(int(first[-1]) + 1, np.int64)
@@ -287,31 +340,26 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
 
     schema = "doc_id long, n_words long, n_removed long, text string"
     if len(rounds) == 1:
-        blobs = sent(rounds[0])
-
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            indexes = [FMIndex.load(b) for b in blobs.value]
+            indexes = opened(rounds[0])
             for batch in batches:
-                for at, first, stretches in _matches(indexes, batch):
+                for at, first, stretches in _matches(indexes, anchors.value, batch):
                     yield kept(batch, at, first, stretches)
 
         return docs.mapInArrow(at_once, schema)
 
     found = None
     for some in rounds:
-        blobs = sent(some)
-
-        def one_round(batches: Iterator[pa.RecordBatch], blobs=blobs) -> Iterator[pa.RecordBatch]:
-            indexes = [FMIndex.load(b) for b in blobs.value]
+        def one_round(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
+            indexes = opened(some)
             for batch in batches:
-                for at, first, stretches in _matches(indexes, batch):
+                for at, first, stretches in _matches(indexes, anchors.value, batch):
                     where = np.array(stretches, np.int64).reshape(-1, 2)
                     row = np.searchsorted(first, where[:, 0], "right") - 1
                     cols = [pa.array(x) for x in (where[:, 0] - first[row], where[:, 1] - first[row], np.diff(first)[row])]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), *cols], ["doc_id", "start", "end", "of"])
 
         part = materialize(docs.mapInArrow(one_round, "doc_id long, start long, end long, of long"))
-        blobs.unpersist()
         found = part if found is None else found.unionByName(part)
     lists = found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "of")).alias("found"))
 
