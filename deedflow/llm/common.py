@@ -17,18 +17,28 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch, unless the session has a number of its own: texts are long.
+BATCH_ROWS = 1000
 LONG_WORD = 256
 U64 = np.uint64
 MULT_A, MULT_B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python gets long texts by small batches: a batch lies in the memory of the executor and of its Python worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name under the shared ``spark.checkpoint.dir``; a temporary folder is set only if that is unset."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='deedflow-')}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, worker_cache
+from .common import U64, mix, small_batches, worker_cache
 
 GRAM = 3
 CELLS = 1 << 16
@@ -107,6 +107,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of the labelled documents that aren't held out."""
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n_of = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not n_of:
