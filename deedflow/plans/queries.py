@@ -368,7 +368,7 @@ def ocr_text(spark, sf_dir):
 
 @query
 def layout_lines(spark, sf_dir):
-    return layout.lines_of(_words(spark, sf_dir)).select("document_id", "line_no", F.sha2("text", 256).alias("text_sha256"), "x", "y", "width", "height", "conf", "n")
+    return layout.lines_of(_words(spark, sf_dir)).select("document_id", "page", "line_no", F.sha2("text", 256).alias("text_sha256"), "x", "y", "width", "height", "conf", "n")
 
 
 def _bands(spark, sf_dir):
@@ -380,7 +380,7 @@ def _bands(spark, sf_dir):
 @query
 def layout_blocks(spark, sf_dir):
     blocks = layout.blocks_of(_bands(spark, sf_dir)[1])
-    return blocks.select("document_id", "block_no", F.sha2("text", 256).alias("text_sha256"), "x", "y", "width", "height", "conf", "n")
+    return blocks.select("document_id", "page", "block_no", F.sha2("text", 256).alias("text_sha256"), "x", "y", "width", "height", "conf", "n")
 
 
 @query
@@ -391,7 +391,7 @@ def layout_columns(spark, sf_dir):
 @query
 def layout_tables(spark, sf_dir):
     words = _bands(spark, sf_dir)[0].withColumn("block_no", F.floor(F.col("line_no") / 4).cast("int")).filter("(idx * 7 + line_no) % 3 <> 0")
-    return layout.table_cells(words).select("document_id", "block_no", "line_no", "column_no", "text")
+    return layout.table_cells(words).select("document_id", "page", "block_no", "line_no", "column_no", "text")
 
 
 def _lines(spark, sf_dir):
@@ -411,7 +411,7 @@ def section_fill(spark, sf_dir):
 @query
 def reading_order(spark, sf_dir):
     words = _words(spark, sf_dir).filter("idx % 9 < 2").select(*layout.PAGE, F.col("idx").alias("block_no"), F.when(F.col("document_id").cast("long") % 2 == 0, F.col("x") / 9).otherwise(F.col("x")).alias("x"), "y")
-    return layout.reading_order(words.filter("block_no % 2 = 0")).select("document_id", "block_no", "pos")
+    return layout.reading_order(words.filter("block_no % 2 = 0")).select("document_id", "page", "block_no", "pos")
 
 
 @query
