@@ -372,8 +372,8 @@ def layout_lines(spark, sf_dir):
 
 
 def _bands(spark, sf_dir):
-    """Lines by bands of 40 rows, with words of every seventh band left out."""
-    words = _words(spark, sf_dir).withColumn("line_no", F.floor(F.col("y") / 40).cast("int")).filter("line_no % 7 <> 3")
+    """Lines by bands of 40 rows, with a gap of 120 before every seventh band."""
+    words = _words(spark, sf_dir).withColumn("line_no", F.floor(F.col("y") / 40).cast("int")).withColumn("y", F.col("y") + 120 * F.floor((F.col("line_no") + 3) / 7))
     return words, layout.boxes(words, [*layout.PAGE, "line_no"], ["x", "idx"], " ")
 
 
@@ -383,14 +383,20 @@ def layout_blocks(spark, sf_dir):
     return blocks.select("document_id", "page", "block_no", F.sha2("text", 256).alias("text_sha256"), "x", "y", "width", "height", "conf", "n")
 
 
+def _beside(some: str):
+    """x, where some words come so near to the next place that both are in one column."""
+    return F.when(F.expr(some), F.col("x") + 60).otherwise(F.col("x"))
+
+
 @query
 def layout_columns(spark, sf_dir):
-    return layout.columns_of(_bands(spark, sf_dir)[0].filter("idx % 5 <> 2"), [*layout.PAGE, "line_no"])
+    words = _bands(spark, sf_dir)[0].withColumn("x", _beside("idx % 5 = 2"))
+    return layout.columns_of(words, [*layout.PAGE, "line_no"])
 
 
 @query
 def layout_tables(spark, sf_dir):
-    words = _bands(spark, sf_dir)[0].withColumn("block_no", F.floor(F.col("line_no") / 4).cast("int")).filter("(idx * 7 + line_no) % 3 <> 0")
+    words = _bands(spark, sf_dir)[0].withColumn("block_no", F.floor(F.col("line_no") / 4).cast("int")).withColumn("x", _beside("(idx * 7 + line_no) % 3 = 0"))
     return layout.table_cells(words).select("document_id", "page", "block_no", "line_no", "column_no", "text")
 
 
@@ -410,8 +416,10 @@ def section_fill(spark, sf_dir):
 
 @query
 def reading_order(spark, sf_dir):
-    words = _words(spark, sf_dir).filter("idx % 9 < 2").select(*layout.PAGE, F.col("idx").alias("block_no"), F.when(F.col("document_id").cast("long") % 2 == 0, F.col("x") / 9).otherwise(F.col("x")).alias("x"), "y")
-    return layout.reading_order(words.filter("block_no % 2 = 0")).select("document_id", "page", "block_no", "pos")
+    # Even documents have one column; of the others, the right half is a column of its own.
+    x = F.when(F.col("document_id").cast("long") % 2 == 0, F.col("x") / 9).when(F.col("x") >= 540, F.col("x") + 300).otherwise(F.col("x"))
+    words = _words(spark, sf_dir).select(*layout.PAGE, F.col("idx").alias("block_no"), x.alias("x"), "y")
+    return layout.reading_order(words).select("document_id", "page", "block_no", "pos")
 
 
 @query

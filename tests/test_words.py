@@ -77,3 +77,80 @@ def test_lines_of_whole_texts(spark, words_dir):
 def test_every_page_is_read(spark, words_dir, name):
     long = {(d, p) for (d, p), ws in placed().items() if len(ws) > 20}
     assert long <= {(r.document_id, r.page) for r in QUERIES[name](spark, words_dir).collect()}
+
+
+def banded():
+    """Words with their band, which is 120 lower for each gap above it."""
+    for (d, p), ws in placed().items():
+        bands = {}
+        for w in ws:
+            no = int(w[3] // 40)
+            bands.setdefault(no, []).append((*w[:3], w[3] + (no + 3) // 7 * 120, *w[4:]))
+        yield d, p, bands
+
+
+def columns(xs):
+    groups = []
+    for x in sorted(xs):
+        if groups and x - groups[-1][-1] <= 40:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    return [sum(g) / len(g) for g in groups]
+
+
+def test_blocks_of_all_words(spark, words_dir):
+    want = []
+    for d, p, bands in banded():
+        lines = [(no, ws, min(w[3] for w in ws), max(w[3] + w[5] for w in ws)) for no, ws in sorted(bands.items())]
+        limit, blocks = max(80.0, 3 * median(bottom - y for _, _, y, bottom in lines)), []
+        for i, line in enumerate(lines):
+            if i and line[2] - lines[i - 1][3] <= limit:
+                blocks[-1].append(line)
+            else:
+                blocks.append([line])
+        for no, block in enumerate(blocks, 1):
+            text = "\n".join(" ".join(w[1] for w in sorted(ws, key=lambda w: (w[2], w[0]))) for _, ws, _, _ in block)
+            x, right = min(w[2] for _, ws, _, _ in block for w in ws), max(w[2] + w[4] for _, ws, _, _ in block for w in ws)
+            conf = half_up(sum(half_up(sum(w[6] for w in ws) / len(ws)) for _, ws, _, _ in block) / len(block))
+            want.append((d, p, no, sha(text), x, block[0][2], right - x, block[-1][3] - block[0][2], conf, len(block)))
+    assert len({w[:3] for w in want}) > len({w[:2] for w in want})
+    assert answers(spark, words_dir, "layout_blocks") == sorted(want)
+
+
+def test_columns_of_all_words(spark, words_dir):
+    want = []
+    for d, p, bands in banded():
+        for line, ws in bands.items():
+            want += [(d, p, line, no, c) for no, c in enumerate(columns(w[2] + 60 * (w[0] % 5 == 2) for w in ws), 1)]
+    assert answers(spark, words_dir, "layout_columns") == sorted(want)
+
+
+def test_tables_of_all_words(spark, words_dir):
+    want = []
+    for d, p, bands in banded():
+        blocks = {}
+        for line, ws in bands.items():
+            blocks.setdefault(line // 4, []).extend((line, w[2] + 60 * ((w[0] * 7 + line) % 3 == 0), w[0], w[1]) for w in ws)
+        for block, ws in blocks.items():
+            centers, cells = columns(w[1] for w in ws), {}
+            for line, x, idx, text in sorted(ws, key=lambda w: w[1:3]):
+                column = min((abs(x - c), no) for no, c in enumerate(centers, 1))[1]
+                cells.setdefault((line, column), []).append(text)
+            wide = {line: len([1 for at, _ in cells if at == line]) for line, *_ in ws}
+            if len(wide) >= 2 and len(centers) >= 2 and sum(n >= 2 for n in wide.values()) >= max(1, len(wide) // 2):
+                want += [(d, p, block, line, column, " ".join(texts)) for (line, column), texts in cells.items()]
+    assert any(" " in w[-1] for w in want)
+    assert answers(spark, words_dir, "layout_tables") == sorted(want)
+
+
+def test_reading_order_of_all_words(spark, words_dir):
+    want, by_left = [], 0
+    for (d, p), ws in placed().items():
+        at = {w[0]: (w[2] / 9 if int(d) % 2 == 0 else w[2] + 300 * (w[2] >= 540), w[3]) for w in ws}
+        xs = sorted(x for x, _ in at.values())
+        broken = any(b - a > 300 for a, b in zip(xs, xs[1:]))
+        by_left += broken
+        want += [(d, p, i, pos) for pos, i in enumerate(sorted(at, key=lambda i: (*at[i], i) if broken else i), 1)]
+    assert 0 < by_left < len(placed())
+    assert answers(spark, words_dir, "reading_order") == sorted(want)
