@@ -7,8 +7,9 @@ word: a stretch of the aligned words, scored +1 for an equal pair and -2 for a d
 The benchmark's seeds are broadcast only after their number was counted against ``BROADCAST_SEEDS``; beyond it, Spark
 shuffles both sides on the seed.  Positions without a hit never leave the generated stage in the first case.
 
-Defined cases: null or short texts match nothing; items with fewer words than the shortest mask cannot be evidenced;
-items with equal words are one class and are all listed; repeated documents each match.
+Items with fewer words than the shortest mask have one seed each, over all their words, and must be found exactly.
+
+Defined cases: null texts and texts without words match nothing, and so do such items; items with equal words are one class and are all listed; repeated documents each match.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .native import word_array
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("11101011", "110100111", "1100101101")
+SHORTEST = min(map(len, MASKS))
 BROADCAST_SEEDS = 1_000_000
 #: A stretch counts if it holds this share of the item's words, or this many.
 LEAST_SHARE, LEAST_WORDS = 0.6, 20
@@ -27,22 +29,27 @@ LEAST_SHARE, LEAST_WORDS = 0.6, 20
 PAIRS = ["doc_id", "item_id", "item_ids", "doc_start", "doc_end", "item_start", "item_end", "n_matched", "n_item_words", "similarity"]
 
 
-def seeds(words: str, at: Column) -> Column:
+def short_masks(lengths: list[int]) -> dict[int, str]:
+    """Masks over all words of items of these lengths, by number."""
+    return {len(MASKS) + n: "1" * n for n in lengths}
+
+
+def seeds(words: str, at: Column, masks: dict[int, str]) -> Column:
     """One hash for each mask at a place; null where the mask does not fit."""
     def seed(n: int, mask: str) -> Column:
         cared = [F.get(words, at + i) for i, c in enumerate(mask) if c == "1"]
         return F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(n), *cared))
 
-    return F.array(*[seed(n, mask) for n, mask in enumerate(MASKS)])
+    return F.array(*[seed(n, mask) for n, mask in masks.items()])
 
 
-def seeded(df: DataFrame, words: str, at: str) -> DataFrame:
+def seeded(df: DataFrame, words: str, at: str, masks: dict[int, str]) -> DataFrame:
     """A row for each place and mask that fits."""
-    shortest = min(map(len, MASKS))
+    shortest = min(map(len, masks.values()))
     return (
         df.filter(F.size(words) >= shortest)
         .select("*", F.explode(F.sequence(F.lit(0), F.size(words) - shortest)).alias(at))
-        .select("*", F.explode(seeds(words, F.col(at))).alias("seed"))
+        .select("*", F.explode(seeds(words, F.col(at), masks)).alias("seed"))
         .filter(F.col("seed").isNotNull())
     )
 
@@ -76,10 +83,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("item_words")
         .agg(F.min("item_id").alias("item_id"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     )
-    item_seeds = seeded(items, "item_words", "j").select("seed", "j", "item_id", "item_ids", "item_words")
+    size, masks = F.size("item_words"), dict(enumerate(MASKS))
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).filter(F.col("n").between(1, SHORTEST - 1)).distinct().collect())
+    item_seeds = seeded(items, "item_words", "j", masks)
+    for n in lengths:
+        item_seeds = item_seeds.unionByName(seeded(items.filter(size == n), "item_words", "j", short_masks([n])))
+    item_seeds = item_seeds.select("seed", "j", "item_id", "item_ids", "item_words")
     if item_seeds.count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
-    places = seeded(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), word_array(F.col("text")).alias("words")), "words", "i")
+    places = seeded(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), word_array(F.col("text")).alias("words")), "words", "i", masks | short_masks(lengths))
     diag = F.col("i") - F.col("j")
     hits = (
         places.join(item_seeds, "seed")
@@ -93,6 +105,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits.withColumn("stretch", best_stretch(aligned))
         .withColumn("n_item_words", F.size("item_words").cast("long"))
         .withColumn("n_matched", F.col("stretch.best_ones").cast("long"))
+        .filter((F.col("n_item_words") >= SHORTEST) | (F.col("n_matched") == F.col("n_item_words")))
         .filter((F.col("n_matched") >= LEAST_SHARE * F.col("n_item_words")) | (F.col("n_matched") >= LEAST_WORDS))
         .withColumn("item_start", (skipped + F.col("stretch.best_from")).cast("long"))
         .withColumn("item_end", (skipped + F.col("stretch.best_to")).cast("long"))
