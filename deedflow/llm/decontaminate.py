@@ -78,6 +78,11 @@ def best_stretch(equal: Column) -> Column:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item (class of equal items) that it holds: where, and how much."""
+    return overlaps(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text"), benchmark).drop("rid")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """find_overlaps of documents (rid, doc_id, text), with their rid."""
     items = (
         benchmark.select(F.col("item_id").cast("long"), word_array(F.col("text")).alias("item_words"))
         .groupBy("item_words")
@@ -91,7 +96,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = item_seeds.select("seed", "j", "item_id", "item_ids", "item_words")
     if item_seeds.count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
-    places = seeded(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("rid"), word_array(F.col("text")).alias("words")), "words", "i", masks | short_masks(lengths))
+    places = seeded(docs.select("doc_id", "rid", word_array(F.col("text")).alias("words")), "words", "i", masks | short_masks(lengths))
     diag = F.col("i") - F.col("j")
     hits = (
         places.join(item_seeds, "seed")
@@ -117,11 +122,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return (
         found.groupBy("rid", "doc_id", "item_id")
         .agg(F.first("item_ids").alias("item_ids"), F.max_by(F.struct(*place), F.struct("n_matched", -F.col("doc_start"))).alias("at"))
-        .select("doc_id", "item_id", "item_ids", *[f"at.{c}" for c in place])
+        .select("rid", "doc_id", "item_id", "item_ids", *[f"at.{c}" for c in place])
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns.  Documents without an id are kept."""
-    leaks = find_overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    # A text leaks or not whatever its id, so ids may repeat.  The row's number in rid keeps the filter on the number of words
+    # above the words, which would otherwise be made twice.
+    text_id = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
+    rid = F.struct(*text_id, F.monotonically_increasing_id().alias("row"))
+    searched = docs.filter(F.col("doc_id").isNotNull()).select(rid.alias("rid"), F.col("doc_id").cast("long"), "text")
+    leaks = overlaps(searched, benchmark).select(F.struct("rid.a", "rid.b").alias("rid")).distinct()
+    return docs.join(leaks, F.col("doc_id").isNotNull() & (F.struct(*text_id) == F.col("rid")), "left_anti")

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ SKETCH_PARTS = 64
 CELLS = 64
 #: Rows of (doc_id, class) up to which they are broadcast instead of shuffling all texts.
 BROADCAST_IDS = 2_000_000
+#: Column of keep_one_of_each alone.
+ROW = "__row"
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -286,7 +289,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return found.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """With a number in ROW for each row, the same at each reading: docs come from files, or are written first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialize(docs)
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is their component's, with all their columns; documents without an id are kept."""
-    gone = jaccard_components(docs, k, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, with all its columns: that of the least id, where rows without an id come last."""
+    rows = numbered_rows(docs)
+    found = materialize(jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias(ROW), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), ROW)
+    kept = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    return rows.join(found.join(kept, ROW, "left_anti").select(ROW), ROW, "left_anti").drop(ROW)

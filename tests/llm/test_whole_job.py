@@ -1,6 +1,6 @@
 """Cases that operators left out: short items, repeated and null ids, tables without labels."""
 
-from deedflow.llm import decontaminate
+from deedflow.llm import decontaminate, jaccard
 
 from .conftest import words
 
@@ -15,3 +15,28 @@ def test_short_items_are_found_exactly(spark, make, rnd):
         decontaminate.BROADCAST_SEEDS = old
         assert set(got) == {(1, 1), (2, 2), (4, 3), (6, 5)}
         assert got[4, 3].item_ids == [3, 6] and (got[2, 2].doc_start, got[2, 2].doc_end, got[2, 2].similarity) == (1, 8, 1.0)
+
+
+def near_copies(rnd):
+    """A text, a near copy, and two others."""
+    a, b, c = (words(rnd, 120, 3000) for _ in range(3))
+    return a, a.rsplit(" ", 1)[0] + " changed", b, c
+
+
+def test_one_row_of_each_though_ids_repeat(spark, make, rnd, tmp_path):
+    a, near, b, c = near_copies(rnd)
+    rows = [(1, a), (1, a), (2, near), (2, b), (None, c), (None, c), (None, near), (3, ""), (3, None), (4, c), (None, words(rnd, 50))]
+    rows.append(rows[-1])
+    make(rows).write.parquet(f"{tmp_path}/docs")
+    for docs in (make(rows), spark.read.parquet(f"{tmp_path}/docs")):
+        kept = jaccard.keep_one_of_each(docs)
+        got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+        assert got == sorted([(1, a), (2, b), (4, c), (3, ""), (3, ""), (0, rows[-1][1])]) and set(kept.columns) == set(docs.columns)
+
+
+def test_clean_rows_that_share_an_id_stay(spark, make, rnd):
+    item, clean = words(rnd, 30, 3000), words(rnd, 50, 3000)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"a {item}"), (1, clean), (1, None), (2, f"a {item}"), (2, f"b {item} c"), (3, clean), (3, clean)]
+    kept = decontaminate.drop_contaminated(make(rows), bench)
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, clean), (1, ""), (3, clean), (3, clean)]) and set(kept.columns) == set(make(rows).columns)
