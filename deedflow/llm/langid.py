@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't UNKNOWN, with all their columns."""
+    """The documents that aren't UNKNOWN, with all their columns; if nothing was learned, those with letters."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.likelihood))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +171,6 @@ def drop_unknown(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield part.filter(pa.array([bool(own.infer(t)) for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([bool(own.infer(t)) if own.langs else len(gram_cells(t)) > 0 for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

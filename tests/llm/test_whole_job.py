@@ -1,6 +1,8 @@
 """Cases that operators left out: short items, repeated and null ids, tables without labels."""
 
-from deedflow.llm import decontaminate, jaccard
+from pyspark.sql import functions as F
+
+from deedflow.llm import decontaminate, jaccard, langid
 
 from .conftest import words
 
@@ -40,3 +42,10 @@ def test_clean_rows_that_share_an_id_stay(spark, make, rnd):
     rows = [(1, f"a {item}"), (1, clean), (1, None), (2, f"a {item}"), (2, f"b {item} c"), (3, clean), (3, clean)]
     kept = decontaminate.drop_contaminated(make(rows), bench)
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, clean), (1, ""), (3, clean), (3, clean)]) and set(kept.columns) == set(make(rows).columns)
+
+
+def test_letters_decide_without_learned_languages(make):
+    rows = [(1, "the and of"), (2, "123 !?"), (3, None), (4, "")]
+    docs = make(rows).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.drop_unknown(docs, langid.fit(docs))
+    assert [r.doc_id for r in kept.collect()] == [1]
