@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,6 +307,10 @@ def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batch: pa.Rec
         yield at, first, [x for index in indexes for x in covered(index, hashes, first, ids[rows], row, starts)]
 
 
+def text_hash(texts: pa.Array, i: int) -> int:
+    return xxhash.xxh3_64_intdigest(texts[i].as_buffer() or b"") - (1 << 63)
+
+
 def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, text of the kept words."""
     spark = docs.sparkSession
@@ -356,7 +361,8 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
                 for at, first, stretches in _matches(indexes, anchors.value, batch):
                     where = np.array(stretches, np.int64).reshape(-1, 2)
                     row = np.searchsorted(first, where[:, 0], "right") - 1
-                    cols = [pa.array(x) for x in (where[:, 0] - first[row], where[:, 1] - first[row], np.diff(first)[row])]
+                    of = {r: text_hash(batch.column(1), r + at) for r in set(row.tolist())}
+                    cols = [pa.array(where[:, 0] - first[row]), pa.array(where[:, 1] - first[row]), pa.array([of[r] for r in row.tolist()], pa.int64())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), *cols], ["doc_id", "start", "end", "of"])
 
         part = materialize(docs.mapInArrow(one_round, "doc_id long, start long, end long, of long"))
@@ -367,9 +373,9 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
         for batch in batches:
             lists = batch.column(2).to_pylist()
             for at, _, first in _chunks(batch.column(1)):
-                n = np.diff(first)
-                # rows that repeat a doc_id share its list: a stretch belongs to texts of its number of words
-                stretches = [(int(first[i]) + x["start"], int(first[i]) + x["end"]) for i in range(len(n)) for x in lists[at + i] or () if x["of"] == n[i]]
+                # rows that repeat a doc_id share its list: a stretch belongs to texts of its hash
+                own = [text_hash(batch.column(1), at + i) if lists[at + i] else None for i in range(len(first) - 1)]
+                stretches = [(int(first[i]) + x["start"], int(first[i]) + x["end"]) for i in range(len(own)) for x in lists[at + i] or () if x["of"] == own[i]]
                 yield kept(batch, at, first, stretches)
 
     return docs.join(lists, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(listed, schema)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from deedflow.llm import decontaminate, jaccard, langid
+from deedflow.llm import decontaminate, jaccard, langid, substrings
 
 from .conftest import words
 
@@ -49,3 +49,12 @@ def test_letters_decide_without_learned_languages(make):
     docs = make(rows).withColumn("lang", F.lit(None).cast("string"))
     kept = langid.drop_unknown(docs, langid.fit(docs))
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_rows_of_one_id_lose_their_own_stretches(make, rnd):
+    p, q = (words(rnd, 130, 3000) for _ in range(2))
+    x, y = (words(rnd, 60, 3000) for _ in range(2))
+    rows = [(1, p), (2, q), (9, f"{p} {x}"), (9, f"{y} {q}"), (9, f"{p} {x}")]
+    want = sorted([(1, 0, p), (2, 0, q), (9, 130, x), (9, 130, y), (9, 130, x)])
+    for sizes in ({}, {"ship_bytes": 1, "shard_words": 50}):
+        assert sorted((r.doc_id, r.n_removed, r.text) for r in substrings.remove_repeats(make(rows), **sizes).collect()) == want
