@@ -67,24 +67,16 @@ FROM ({RAW_WIDE}) AS r CROSS JOIN {CATALOG}
 """
 
 #: Positioned words of a document, 240 to a page; idx runs through the document, places start anew on each page.
-WORDS_SPARK = r"""
-WITH split_up AS (SELECT doc_id, split(text, '[ \\t\\n\\r\\f]+') AS w FROM {documents}),
-numbered AS (SELECT doc_id, posexplode(w) AS (i, word) FROM split_up),
+WORDS = r"""
+WITH split_up AS (SELECT doc_id, {split} AS w FROM {documents}),
+numbered AS (SELECT doc_id, {explode} FROM split_up),
 placed AS (SELECT *, i % 240 AS k FROM numbered)
 SELECT cast(doc_id as string) AS document_id, cast(floor(i / 240) as int) + 1 AS page, cast(i as int) AS idx, word AS text,
   cast((k % 12) * 90 as double) AS x, cast(cast(floor(k / 12) as int) * 40 + (k * 7) % 11 as double) AS y,
   cast(9 * length(word) as double) AS width, cast(16 + doc_id % 5 as double) AS height, cast((i * 37 + doc_id) % 101 as double) AS conf
 FROM placed WHERE word <> ''
 """
-#: What the oracles read: the first page of each document only.
-WORDS = """
-WITH split_up AS (SELECT doc_id, {split} AS w FROM {documents}),
-placed AS (SELECT doc_id, {explode} FROM split_up)
-SELECT cast(doc_id as string) AS document_id, 1 AS page, cast(i as int) AS idx, word AS text,
-  cast((i % 12) * 90 as double) AS x, cast(cast(floor(i / 12) as int) * 40 + (i * 7) % 11 as double) AS y,
-  cast(9 * length(word) as double) AS width, cast(16 + doc_id % 5 as double) AS height, cast((i * 37 + doc_id) % 101 as double) AS conf
-FROM placed WHERE i < 240 AND word <> ''
-"""
+WORDS_SPARK = WORDS.replace("{split}", r"split(text, '[ \\t\\n\\r\\f]+')").replace("{explode}", "posexplode(w) AS (i, word)")
 WORDS_DUCK = WORDS.replace("{split}", r"regexp_split_to_array(text, '[ \t\n\r\f]+')").replace("{explode}", "unnest(range(0, len(w))) AS i, w[unnest(range(1, len(w) + 1))] AS word")
 
 #: Recognised lines of a form for each order: sections, labels with values behind, below and to the right.

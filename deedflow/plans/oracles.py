@@ -191,36 +191,36 @@ SQL["ocr_page_conf"] = f"SELECT document_id, page, round(avg(conf) + 1e-9, 2) AS
 SQL["ocr_doc_conf"] = f"WITH p AS (SELECT document_id, (idx // 60)::INT AS page, round(avg(conf) + 1e-9, 2) AS c, count(*) AS n FROM {WORDS} w GROUP BY ALL) SELECT document_id, round(sum(c * n) / sum(n) + 1e-9, 2) AS document_confidence, count(*) AS page_count, sum(n)::BIGINT AS word_count FROM p GROUP BY document_id"
 SQL["ocr_text"] = f"WITH p AS (SELECT document_id, idx // 60 AS page, string_agg(text, ' ' ORDER BY idx) AS t FROM {WORDS} w GROUP BY ALL) SELECT document_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS text_sha256 FROM p GROUP BY document_id"
 BOX = "min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, round(avg(conf) + 1e-9, 2) AS conf, count(*) AS n"
-SQL["layout_lines"] = f"""WITH RECURSIVE w AS (SELECT *, y + height / 2 AS cy FROM {WORDS} w), t AS (SELECT document_id, greatest(15.0, 0.6 * median(height)) AS tol FROM w GROUP BY document_id),
-o AS (SELECT w.*, tol, row_number() OVER (PARTITION BY w.document_id ORDER BY cy, x, idx) AS i FROM w JOIN t ON t.document_id = w.document_id),
-f AS (SELECT document_id, i, 1 AS line_no, cy AS total, 1 AS n FROM o WHERE i = 1
-  UNION ALL SELECT o.document_id, o.i, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.total + o.cy ELSE o.cy END, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.n + 1 ELSE 1 END
-  FROM f JOIN o ON o.document_id = f.document_id AND o.i = f.i + 1)
-SELECT o.document_id, line_no, sha256(string_agg(text, ' ' ORDER BY x, idx)) AS text_sha256, {BOX.replace('count(*) AS n', 'count(*) AS n')} FROM o JOIN f ON f.document_id = o.document_id AND f.i = o.i GROUP BY o.document_id, line_no""".replace("count(*) AS n FROM o JOIN", "count(*) AS n FROM o JOIN")
-BAND_WORDS = f"(SELECT *, floor(y / 40)::INT AS line_no FROM {WORDS} w WHERE floor(y / 40)::INT % 7 <> 3)"
-BANDS = f"(SELECT document_id, page, line_no, string_agg(text, ' ' ORDER BY x, idx) AS text, {BOX} FROM {BAND_WORDS} b GROUP BY ALL)"
-SQL["layout_blocks"] = f"""WITH l AS (SELECT *, y - lag(y + height) OVER (PARTITION BY document_id ORDER BY y, line_no) AS gap FROM {BANDS} l), g AS (SELECT document_id, greatest(80.0, 3 * median(height)) AS lim FROM l GROUP BY document_id),
-b AS (SELECT l.*, (sum(CASE WHEN gap IS NULL OR gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY l.document_id ORDER BY y, line_no))::INT AS block_no FROM l JOIN g ON g.document_id = l.document_id)
-SELECT document_id, block_no, sha256(string_agg(text, chr(10) ORDER BY y, line_no)) AS text_sha256, {BOX} FROM b GROUP BY ALL"""
+SQL["layout_lines"] = f"""WITH RECURSIVE w AS (SELECT *, y + height / 2 AS cy FROM {WORDS} w), t AS (SELECT document_id, page, greatest(15.0, 0.6 * median(height)) AS tol FROM w GROUP BY ALL),
+o AS MATERIALIZED (SELECT w.*, tol, row_number() OVER (PARTITION BY w.document_id, w.page ORDER BY cy, x, idx) AS i, dense_rank() OVER (ORDER BY w.document_id, w.page) AS sheet FROM w JOIN t ON t.document_id = w.document_id AND t.page = w.page),
+f AS (SELECT sheet, i, 1 AS line_no, cy AS total, 1 AS n FROM o WHERE i = 1
+  UNION ALL SELECT o.sheet, o.i, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.total + o.cy ELSE o.cy END, CASE WHEN abs(o.cy - f.total / f.n) <= o.tol THEN f.n + 1 ELSE 1 END
+  FROM f JOIN o ON o.sheet = f.sheet AND o.i = f.i + 1)
+SELECT document_id, page, line_no, sha256(string_agg(text, ' ' ORDER BY x, idx)) AS text_sha256, {BOX} FROM o JOIN f ON f.sheet = o.sheet AND f.i = o.i GROUP BY document_id, page, line_no"""
+BAND_WORDS = f"(SELECT * REPLACE (y + 120 * ((line_no + 3) // 7) AS y) FROM (SELECT *, floor(y / 40)::INT AS line_no FROM {WORDS} w))"
+BANDS = f"(SELECT document_id, page, line_no, string_agg(text, ' ' ORDER BY x, idx) AS text, {BOX} FROM {BAND_WORDS} b GROUP BY document_id, page, line_no)"
+SQL["layout_blocks"] = f"""WITH l AS (SELECT *, y - lag(y + height) OVER (PARTITION BY document_id, page ORDER BY y, line_no) AS gap FROM {BANDS} l), g AS (SELECT document_id, page, greatest(80.0, 3 * median(height)) AS lim FROM l GROUP BY ALL),
+b AS (SELECT l.*, (sum(CASE WHEN gap IS NULL OR gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY l.document_id, l.page ORDER BY y, line_no))::INT AS block_no FROM l JOIN g ON g.document_id = l.document_id AND g.page = l.page)
+SELECT document_id, page, block_no, sha256(string_agg(text, chr(10) ORDER BY y, line_no)) AS text_sha256, {BOX} FROM b GROUP BY document_id, page, block_no"""
 COLUMNS = """g AS (SELECT {k}, x, x - lag(x) OVER (PARTITION BY {k} ORDER BY x) AS gap FROM src), c AS (SELECT {k}, x, (sum(CASE WHEN gap IS NULL OR gap > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY x))::INT AS column_no FROM g),
 cols AS (SELECT {k}, column_no, avg(x) AS center FROM c GROUP BY ALL)"""
-SQL["layout_columns"] = f"WITH src AS (SELECT * FROM {BAND_WORDS} b WHERE idx % 5 <> 2), {COLUMNS.format(k='document_id, page, line_no')} SELECT * FROM cols"
-SQL["layout_tables"] = f"""WITH src AS (SELECT *, line_no // 4 AS block_no FROM {BAND_WORDS} b WHERE (idx * 7 + line_no) % 3 <> 0), {COLUMNS.format(k='document_id, block_no')},
-near AS (SELECT s.document_id, s.block_no::INT AS block_no, s.line_no, s.idx, s.x, s.text, arg_min(column_no, abs(s.x - center) * 1000 + column_no) AS column_no FROM src s JOIN cols USING (document_id, block_no) GROUP BY ALL),
-cells AS (SELECT document_id, block_no, line_no, column_no, string_agg(text, ' ' ORDER BY x, idx) AS text FROM near GROUP BY ALL),
-wide AS (SELECT document_id, block_no, line_no, count(*) AS n FROM cells GROUP BY ALL),
-ok AS (SELECT document_id, block_no FROM wide GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (WHERE n >= 2) >= greatest(1, count(*) // 2)),
-enough AS (SELECT document_id, block_no FROM cols GROUP BY ALL HAVING count(*) >= 2)
-SELECT cells.* FROM cells SEMI JOIN ok USING (document_id, block_no) SEMI JOIN enough USING (document_id, block_no)"""
+SQL["layout_columns"] = f"WITH src AS (SELECT * REPLACE (x + CASE WHEN idx % 5 = 2 THEN 60 ELSE 0 END AS x) FROM {BAND_WORDS} b), {COLUMNS.format(k='document_id, page, line_no')} SELECT * FROM cols"
+SQL["layout_tables"] = f"""WITH src AS (SELECT * REPLACE (x + CASE WHEN (idx * 7 + line_no) % 3 = 0 THEN 60 ELSE 0 END AS x), line_no // 4 AS block_no FROM {BAND_WORDS} b), {COLUMNS.format(k='document_id, page, block_no')},
+near AS (SELECT s.document_id, s.page, s.block_no::INT AS block_no, s.line_no, s.idx, s.x, s.text, arg_min(column_no, (abs(s.x - center), column_no)) AS column_no FROM src s JOIN cols USING (document_id, page, block_no) GROUP BY ALL),
+cells AS (SELECT document_id, page, block_no, line_no, column_no, string_agg(text, ' ' ORDER BY x, idx) AS text FROM near GROUP BY ALL),
+wide AS (SELECT document_id, page, block_no, line_no, count(*) AS n FROM cells GROUP BY ALL),
+ok AS (SELECT document_id, page, block_no FROM wide GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (WHERE n >= 2) >= greatest(1, count(*) // 2)),
+enough AS (SELECT document_id, page, block_no FROM cols GROUP BY ALL HAVING count(*) >= 2)
+SELECT cells.* FROM cells SEMI JOIN ok USING (document_id, page, block_no) SEMI JOIN enough USING (document_id, page, block_no)"""
 
 MATCH = collapse(r"regexp_replace(upper(text), '[^A-Z0-9\s]', ' ', 'g')")
 SECTION = "CASE " + " ".join(f"WHEN contains({MATCH}, '{s}') THEN '{s}'" for s in SECTIONS) + " END"
 FILLED = f"filled AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT *, {SECTION} AS header FROM {LINES} l))"
 SQL["layout_sections"] = f"SELECT document_id, line_no, name, (row_number() OVER (PARTITION BY document_id ORDER BY line_no))::INT AS section_no FROM (SELECT *, {SECTION} AS name FROM {LINES} l) WHERE name IS NOT NULL"
 SQL["section_fill"] = f"WITH {FILLED} SELECT document_id, line_no, header, section FROM filled"
-SQL["reading_order"] = f"""WITH b AS (SELECT document_id, idx AS block_no, CASE WHEN document_id::BIGINT % 2 = 0 THEN x / 9 ELSE x END AS x, y FROM {WORDS} w WHERE idx % 9 < 2 AND idx % 2 = 0),
-g AS (SELECT *, x - lag(x) OVER (PARTITION BY document_id ORDER BY x) AS gap FROM b), m AS (SELECT *, max(coalesce(gap, 0)) OVER (PARTITION BY document_id) > 300 AS col FROM g)
-SELECT document_id, block_no, (row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN col THEN x ELSE 0 END, CASE WHEN col THEN y ELSE 0 END, block_no))::INT AS pos FROM m"""
+SQL["reading_order"] = f"""WITH b AS (SELECT document_id, page, idx AS block_no, CASE WHEN document_id::BIGINT % 2 = 0 THEN x / 9 WHEN x >= 540 THEN x + 300 ELSE x END AS x, y FROM {WORDS} w),
+g AS (SELECT *, x - lag(x) OVER (PARTITION BY document_id, page ORDER BY x) AS gap FROM b), m AS (SELECT *, max(coalesce(gap, 0)) OVER (PARTITION BY document_id, page) > 300 AS col FROM g)
+SELECT document_id, page, block_no, (row_number() OVER (PARTITION BY document_id, page ORDER BY CASE WHEN col THEN x ELSE 0 END, CASE WHEN col THEN y ELSE 0 END, block_no))::INT AS pos FROM m"""
 PATTERNS = "(VALUES " + ", ".join(f"('{n}', '{s}', '{any_of(ls)}')" for n, s, _, _, ls in FIELDS) + ") AS c(field, field_section, pattern)"
 V, EX = cleaned("raw"), lambda c, p: f"nullif(regexp_extract({c}, '{p}'), '')"
 PARSED = f"""CASE WHEN field IN ('mutation_date', 'registration_date') THEN {EX('cv', r'\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}\b')} WHEN field IN ('survey_number', 'khasra_number', 'khata_number') THEN {EX('cv', r'\b\d+(?:[/\-][A-Za-z0-9]+)*\b')}
