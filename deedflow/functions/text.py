@@ -6,25 +6,39 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..catalog import DEVANAGARI, QUOTES_FROM, QUOTES_TO
+
 SPACE = r"(?U)\s+"
-DEVANAGARI = "०१२३४५६७८९"
-QUOTES_FROM, QUOTES_TO = "’‘“”–—", "''\"\"--"
+#: Runs of white space that isn't a single space, in ASCII.
+UNEVEN = r"[\t-\r ]{2,}|[\t-\r]"
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition: the one text function that Spark lacks."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def foreign(c: Column) -> Column:
+    """Whether a text has characters beyond ASCII."""
+    return F.octet_length(c) != F.length(c)
+
 
+def nfc(c: Column) -> Column:
+    """Canonical composition: the one text function that Spark lacks.  ASCII is composed as it is and never goes to Python."""
+    return F.coalesce(composed(F.when(foreign(c), c)), c)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once.  Pushed-down filters copy a column's whole expression to each place that
-    names it; bound this way, an expression stays as large as it is written."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds (or replaces) columns, each computed once for a row however often later steps name it.  Optimiser rules copy an
+    alias's whole expression into filters and projections above it, so that long chains would grow without bound; they don't
+    look into the rows that a generator makes, and generators are compiled."""
+    kept = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[c.alias(f"_bound_{n}") for n, c in columns.items()])))
+    return df.select("*", made).select(*kept, *[F.col(f"_bound_{n}").alias(n) for n in columns])
 
 
 def collapse(c: Column) -> Column:
@@ -34,7 +48,7 @@ def collapse(c: Column) -> Column:
 
 def match_form(c: Column) -> Column:
     """Upper case, letters and digits of ASCII only, single spaces: for finding section names."""
-    return collapse(F.regexp_replace(F.upper(c), r"[^A-Z0-9\s]", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9]", " "), " {2,}", " "))
 
 
 def folded(c: Column) -> Column:
@@ -49,18 +63,18 @@ def clean_value(c: Column) -> Column:
 
 
 def ascii_digits(c: Column) -> Column:
-    return F.translate(c, DEVANAGARI, "0123456789")
+    return F.when(foreign(c), F.translate(c, DEVANAGARI, "0123456789")).otherwise(c)
 
 
 def plain_unicode(c: Column, compose: bool = True) -> Column:
     """NFC, no-break space as space, invisible marks removed, plain quotes and dashes; null is empty."""
-    c = F.coalesce(c, F.lit(""))
-    c = nfc(c) if compose else c
-    return F.translate(c, " " + QUOTES_FROM + "​﻿", " " + QUOTES_TO)
+    folded = F.translate(nfc(c) if compose else c, "\u00a0" + QUOTES_FROM + "\u200b\ufeff", " " + QUOTES_TO)
+    return F.coalesce(F.when(foreign(c), folded).otherwise(c), F.lit(""))
 
 
 def plain_space(c: Column, compose: bool = True) -> Column:
-    return collapse(plain_unicode(c, compose))
+    even = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), UNEVEN, " "))
+    return F.when(foreign(c), collapse(plain_unicode(c, compose))).otherwise(even)
 
 
 def blank(c: Column) -> Column:
@@ -73,3 +87,8 @@ def has_letter(c: Column) -> Column:
 
 def alphanumerics(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+
+
+def where(c: Column, has: str, rule: Callable[[Column], Column]) -> Column:
+    """The rule where c has one of some characters; other texts, which it would not change, as they are."""
+    return F.when(c.rlike(has), rule(c)).otherwise(c)

@@ -9,7 +9,7 @@ from ..catalog import (
     DUPLICATE_RISK, EVIDENCE_SCORES, HIGH, INVALID_CAP, LOW, MEDIUM, NO_EVIDENCE, NORMALIZATION_SCORES, RECORD_WEIGHTS, UNKNOWN_EVIDENCE, UNKNOWN_NORMALIZATION, UNKNOWN_VALIDATION,
     VALIDATION_SCORES, WARNING_CAP, WEIGHTS,
 )
-from ..functions.text import blank, let
+from ..functions.text import bind, blank
 
 
 def looked_up(c: Column, table: dict[str, float], unknown: float, null: float) -> Column:
@@ -28,43 +28,35 @@ def level(score: Column) -> Column:
 
 def score_fields(fields: DataFrame) -> DataFrame:
     """Adds component scores, confidence_score, confidence_level, confidence_review and confidence_reason."""
-    def parts(r: Column) -> Column:
-        return F.struct(
-            r["status"].alias("status"), r["evidence_type"].alias("evidence"), r["source_text"].alias("source"),
-            looked_up(r["evidence_type"], EVIDENCE_SCORES, UNKNOWN_EVIDENCE, NO_EVIDENCE).alias("e"), looked_up(r["status"], VALIDATION_SCORES, UNKNOWN_VALIDATION, UNKNOWN_VALIDATION).alias("v"),
-            looked_up(r["normalization_status"], NORMALIZATION_SCORES, UNKNOWN_NORMALIZATION, UNKNOWN_NORMALIZATION).alias("n"),
-            source_completeness(r["source_text"], r["n_source_lines"], r["source_page"], r["matched_label"]).alias("s"),
-        )
-
-    def scored(p: Column) -> Column:
-        raw = WEIGHTS["evidence"] * p["e"] + WEIGHTS["validation"] * p["v"] + WEIGHTS["normalization"] * p["n"] + WEIGHTS["source"] * p["s"]
-        capped = F.when(p["status"] == "invalid", F.least(raw, F.lit(INVALID_CAP))).when(p["status"] == "warning", F.least(raw, F.lit(WARNING_CAP))).otherwise(raw)
-        return F.struct(p.alias("p"), F.when(p["status"] == "missing", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), capped)), 2)).alias("score"))
-
-    def reasoned(x: Column) -> Column:
-        status, evidence = x["p"]["status"], x["p"]["evidence"]
-        reasons = [
-            F.when(status == "invalid", "Validation marked the field invalid.").when(status == "warning", "Validation produced warning(s).")
-            .when(status == "not_checked", "Field was not fully validated.").when(status == "missing", "Field is missing."),
-            F.when(evidence == "composer_fallback", "Field was extracted from Composer fallback evidence.").when(evidence == "ocr_fallback", "Field was extracted directly from OCR fallback evidence."),
-            F.when(evidence.isNull() | (evidence == ""), "Extraction evidence type is unavailable.").when(~evidence.isin(list(EVIDENCE_SCORES)), "Extraction evidence type is unknown."),
-            F.when(x["score"] < HIGH, "Confidence is below the automatic acceptance threshold."),
-            F.when(blank(x["p"]["source"]), "Source evidence text is unavailable."),
-        ]
-        why = F.array_join(F.filter(F.array(*reasons), lambda r: r.isNotNull()), "; ")
-        return F.struct(*[x["p"][c].alias(c) for c in "evns"], x["score"].alias("score"), why.alias("why"))
-
-    row = F.struct(F.coalesce("validation_status", F.lit("not_checked")).alias("status"), "evidence_type", "normalization_status", "source_text", "n_source_lines", "source_page", "matched_label")
-    score, why = F.col("_c.score"), F.col("_c.why")
-    return fields.withColumn("_c", let(let(let(row, parts), scored), reasoned)).withColumns({
-        "evidence_score": F.col("_c.e"), "validation_score": F.col("_c.v"), "normalization_score": F.col("_c.n"), "source_score": F.col("_c.s"), "confidence_score": score,
-        "confidence_level": level(score), "confidence_review": F.when(why != "", "required").otherwise("not_required"),
-        "confidence_reason": F.when(why != "", why).otherwise("Field has sufficient supporting evidence."),
-    }).drop("_c")
+    status, evidence = F.col("_status"), F.col("evidence_type")
+    parts = bind(
+        fields, _status=F.coalesce("validation_status", F.lit("not_checked")),
+        evidence_score=looked_up(evidence, EVIDENCE_SCORES, UNKNOWN_EVIDENCE, NO_EVIDENCE),
+        validation_score=looked_up(F.coalesce("validation_status", F.lit("not_checked")), VALIDATION_SCORES, UNKNOWN_VALIDATION, UNKNOWN_VALIDATION),
+        normalization_score=looked_up(F.col("normalization_status"), NORMALIZATION_SCORES, UNKNOWN_NORMALIZATION, UNKNOWN_NORMALIZATION),
+        source_score=source_completeness(F.col("source_text"), F.col("n_source_lines"), F.col("source_page"), F.col("matched_label")),
+    )
+    raw = WEIGHTS["evidence"] * F.col("evidence_score") + WEIGHTS["validation"] * F.col("validation_score") + WEIGHTS["normalization"] * F.col("normalization_score") + WEIGHTS["source"] * F.col("source_score")
+    capped = F.when(status == "invalid", F.least(raw, F.lit(INVALID_CAP))).when(status == "warning", F.least(raw, F.lit(WARNING_CAP))).otherwise(raw)
+    scored = bind(parts, confidence_score=F.when(status == "missing", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), capped)), 2)))
+    why = F.concat_ws(
+        "; ",
+        F.when(status == "invalid", "Validation marked the field invalid.").when(status == "warning", "Validation produced warning(s).")
+        .when(status == "not_checked", "Field was not fully validated.").when(status == "missing", "Field is missing."),
+        F.when(evidence == "composer_fallback", "Field was extracted from Composer fallback evidence.").when(evidence == "ocr_fallback", "Field was extracted directly from OCR fallback evidence."),
+        F.when(evidence.isNull() | (evidence == ""), "Extraction evidence type is unavailable.").when(~evidence.isin(list(EVIDENCE_SCORES)), "Extraction evidence type is unknown."),
+        F.when(F.col("confidence_score") < HIGH, "Confidence is below the automatic acceptance threshold."),
+        F.when(blank(F.col("source_text")), "Source evidence text is unavailable."),
+    )
+    needed = F.col("_why") != ""
+    return bind(scored, _why=why).withColumns({
+        "confidence_level": level(F.col("confidence_score")), "confidence_review": F.when(needed, "required").otherwise("not_required"),
+        "confidence_reason": F.when(needed, F.col("_why")).otherwise("Field has sufficient supporting evidence."),
+    }).drop("_status", "_why")
 
 
-def score_records(fields: DataFrame) -> DataFrame:
-    """One row per document: mean field confidence, completeness, record confidence and level."""
+def score_records(fields: DataFrame, *more: Column) -> DataFrame:
+    """One row per document: mean field confidence, completeness, record confidence and level, and more aggregates."""
     # scores have two digits: whole hundredths add up to the same sum in any order
     mean = F.sum(F.round(F.col("confidence_score") * 100).cast("long")) / (100.0 * F.count("*"))
     filled = 100.0 * F.count_if(F.col("validation_status") != "missing") / F.count("*")
@@ -72,7 +64,7 @@ def score_records(fields: DataFrame) -> DataFrame:
     half_up = lambda c: F.round(c + 1e-9, 2)  # noqa: E731  a half in decimal may be a little less in binary
     out = fields.groupBy("document_id").agg(
         half_up(mean).alias("mean_confidence"), half_up(filled).alias("completeness"), half_up(total).alias("record_confidence"),
-        F.count_if(F.col("confidence_review") == "required").alias("fields_to_review"),
+        F.count_if(F.col("confidence_review") == "required").alias("fields_to_review"), *more,
     )
     return out.withColumn("record_level", level(F.col("record_confidence")))
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import FIELDS
-from ..functions.text import clean_value, folded
+from ..functions.text import bind, clean_value, folded
 
 BETWEEN = r"[\s._:/|,\-]*"
 SOURCES = ["layout_relationship", "layout_same_line", "layout_below_label", "layout_table", "ocr_fallback", "composer_fallback"]
@@ -29,68 +32,74 @@ def any_of(labels: list[str]) -> str:
     return "(?i)(?:" + "|".join(label_pattern(x) for x in sorted(set(labels), key=lambda x: (-len(x), x))) + ")"
 
 
-ALL_LABELS = any_of([x for f in FIELDS for x in f[4]])
+EVERY = [x for f in FIELDS for x in f[4]]
+ALL_LABELS = any_of(EVERY)
 
 
-def parse(field: Column, value: Column) -> Column:
-    """What counts of a value for a field; null if nothing does."""
-    v = clean_value(value)
-    first = lambda p: F.regexp_substr(v, F.lit(p))
+def may_hold(low: Column, labels: list[str]) -> Column:
+    """Whether lower-case text has the first word of a label: without it, no pattern need be tried."""
+    return reduce(or_, [low.contains(w) for w in sorted({re.findall("[a-z0-9]+", x.lower())[0] for x in labels})])
+
+
+def parse(field: Column, clean: Column) -> Column:
+    """What counts of a cleaned value for a field; null if nothing does."""
+    first = lambda p: F.regexp_substr(clean, F.lit(p))
     out = (
         F.when(field.isin("mutation_date", "registration_date"), first(DATE)).when(field.isin("survey_number", "khasra_number", "khata_number"), first(LAND))
         .when(field == "mutation_entry_number", first(MUTATION)).when(field == "registered_document_number", F.coalesce(first(DOCUMENT), first(r"\b\d{2,}\b")))
-        .when(field == "plot_area", clean_value(first(AREA))).otherwise(v)
+        .when(field == "plot_area", clean_value(first(AREA))).otherwise(clean)
     )
-    return F.when(out != "", out)
+    return F.nullif(out, F.lit(""))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Rows (field, raw) with value, where raw has one."""
+    return bind(bind(rows, clean=clean_value(F.col("raw"))), value=parse(F.col("field"), F.col("clean"))).drop("clean").filter("value IS NOT NULL")
+
+
+def fields_with(text: Column, low: Column, made: Callable[[str], dict[str, Column]]) -> Column:
+    """An array of (field, field_section, ...) for the catalogue's fields with a label in the text (low: in lower case), in the
+    line's section."""
+    def one(name: str, section: str, labels: list[str]) -> Column:
+        open_to = F.col("section").isNull() | (F.col("section") == section)
+        return F.when(open_to & may_hold(low, labels) & text.rlike(any_of(labels)), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"), *[c.alias(n) for n, c in made(any_of(labels)).items()]))
+
+    return F.array_compact(F.array(*[one(name, section, labels) for name, section, _, _, labels in FIELDS]))
+
 
+def labelled(lines: DataFrame) -> DataFrame:
+    """Lines by field whose label they hold: label, and raw, the text from there to the next label of any field."""
+    text = F.col("text")
+    hits = fields_with(text, F.col("low"), lambda p: {"label": F.regexp_substr(text, F.lit(p)), "at": F.regexp_instr(text, F.lit(p))})
+    rows = bind(bind(lines, low=F.lower(text)), hits=hits).drop("low")
+    rows = rows.select("*", F.inline("hits")).drop("hits").withColumn("label", F.lower("label"))
+    rows = bind(rows, rest=F.substring(text, F.col("at") + F.length("label"), F.lit(1 << 30)))
+    rows = bind(rows, upto=F.when(may_hold(F.lower("rest"), EVERY), F.regexp_instr("rest", F.lit(ALL_LABELS))).otherwise(0))
+    return bind(rows, raw=clean_value(F.when(F.col("upto") > 0, F.substring("rest", F.lit(1), F.col("upto") - 1)).otherwise(F.col("rest")))).drop("at", "rest", "upto")
 
-def after_label(text: Column, pattern: str) -> Column:
-    """The text between a field's label and the next label of any field; null without the label, maybe empty."""
-    at, label = F.regexp_instr(text, F.lit(pattern)), F.regexp_substr(text, F.lit(pattern))
-    rest = F.substring(text, at + F.length(label), F.lit(1 << 30))
-    upto = F.regexp_instr(rest, F.lit(ALL_LABELS))
-    return F.when(at > 0, clean_value(F.when(upto > 0, F.substring(rest, F.lit(1), upto - 1)).otherwise(rest)))
+
+FOUND = ["document_id", "page", "line_no", "field", "field_section"]
 
 
 def from_lines(lines: DataFrame, source: str) -> DataFrame:
     """(document_id, line_no, field, value, ...) of labels whose value stands behind them; lines: with section, filled."""
-    found = [
-        F.when(F.col("section").isNull() | (F.col("section") == section), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"), after_label(F.col("text"), any_of(labels)).alias("raw"), F.lower(F.regexp_substr("text", F.lit(any_of(labels)))).alias("label")))
-        for name, section, _, _, labels in FIELDS
-    ]
-    hits = F.filter(F.array(*found), lambda x: x["raw"] != "")
-    rows = lines.filter(F.col("text").rlike(ALL_LABELS)).select("document_id", "page", "line_no", "text", F.explode(hits).alias("h"))
-    return (
-        rows.select("document_id", "page", "line_no", "h.*", F.col("text").alias("source_text")).withColumn("value", parse(F.col("field"), F.col("raw"))).filter("value IS NOT NULL")
-        .withColumn("evidence_type", F.lit(source))
-    )
+    rows = labelled(lines).filter("raw <> ''").select(*FOUND, "raw", "label", F.col("text").alias("source_text"))
+    return parsed(rows).withColumn("evidence_type", F.lit(source))
 
 
 def below_labels(lines: DataFrame) -> DataFrame:
     """Values in the line below a label that has none behind it, if that line is neither a header nor has labels."""
     order = Window.partitionBy("document_id", "page").orderBy("line_no")
     next_line = lines.withColumn("next_text", F.lead("text").over(order)).withColumn("next_header", F.lead("header").over(order))
-    found = [
-        F.when((F.col("section").isNull() | (F.col("section") == section)) & (after_label(F.col("text"), any_of(labels)) == ""), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"), F.lower(F.regexp_substr("text", F.lit(any_of(labels)))).alias("label")))
-        for name, section, _, _, labels in FIELDS
-    ]
-    ok = F.col("text").rlike(ALL_LABELS) & F.col("next_text").isNotNull() & F.col("next_header").isNull() & ~F.col("next_text").rlike(ALL_LABELS)
-    rows = next_line.filter(ok).select("document_id", "page", "line_no", "text", "next_text", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h"))
-    return (
-        rows.select("document_id", "page", "line_no", "h.*", F.col("next_text").alias("raw"), F.concat_ws(" | ", "text", "next_text").alias("source_text"))
-        .withColumn("value", parse(F.col("field"), F.col("raw"))).filter("value IS NOT NULL").withColumn("evidence_type", F.lit("layout_below_label"))
-    )
+    rows = labelled(next_line.filter("next_text IS NOT NULL AND next_header IS NULL")).filter("raw = ''").filter(~F.col("next_text").rlike(ALL_LABELS))
+    return parsed(rows.select(*FOUND, "label", F.col("next_text").alias("raw"), F.concat_ws(" | ", "text", "next_text").alias("source_text"))).withColumn("evidence_type", F.lit("layout_below_label"))
 
 
 def from_relationships(rels: DataFrame) -> DataFrame:
     """Relationships whose label names a field; rels: with section."""
-    label = folded(F.col("label"))
-    found = [F.when((F.col("section").isNull() | (F.col("section") == section)) & label.rlike(any_of(labels)), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"))) for name, section, _, _, labels in FIELDS]
-    rows = rels.filter("value IS NOT NULL").select("document_id", "page", "line_no", "label", F.col("value").alias("raw"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h"))
-    return (
-        rows.select("document_id", "page", "line_no", "h.*", "raw", F.lower("label").alias("label"), F.concat_ws(": ", "label", "raw").alias("source_text"))
-        .withColumn("value", parse(F.col("field"), F.col("raw"))).filter("value IS NOT NULL").withColumn("evidence_type", F.lit("layout_relationship"))
-    )
+    rows = bind(rels.filter("value IS NOT NULL").withColumnRenamed("value", "raw"), folded=folded(F.col("label")))
+    hits = rows.select("*", F.inline(fields_with(F.col("folded"), F.col("folded"), lambda _: {})))
+    return parsed(hits.select(*FOUND, "raw", F.lower("label").alias("label"), F.concat_ws(": ", "label", "raw").alias("source_text"))).withColumn("evidence_type", F.lit("layout_relationship"))
 
 
 def table_row_fields(rows: DataFrame) -> DataFrame:

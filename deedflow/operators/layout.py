@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import LAYOUT, LAYOUT_LABELS, SECTIONS
-from ..functions.text import blank, collapse, match_form
+from ..functions.text import bind, blank, collapse, match_form
 
 PAGE = ["document_id", "page"]
 #: A half in decimal may be a little less in binary.
@@ -40,17 +44,20 @@ def line_tolerance(height: Column) -> Column:
 
 def assign_lines(words: DataFrame) -> DataFrame:
     """Adds line_no to usable words: a fold in order of (middle, left) that joins a word to the line whose running mean of
-    middles is near enough, else starts a line."""
-    pages = words.groupBy(*PAGE).agg(line_tolerance(F.col("height")).alias("tolerance"), F.array_sort(F.collect_list(F.struct("cy", "x", "idx"))).alias("ws"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    middles is near enough, else starts a line.  A page's words are folded as one array; the fold notes a 1 for each word
+    that starts a line and a 0 for others."""
+    others = [c for c in words.columns if c not in (*PAGE, "cy", "x", "idx")]
+    pages = words.groupBy(*PAGE).agg(line_tolerance(F.col("height")).alias("tolerance"), F.array_sort(F.collect_list(F.struct("cy", "x", "idx", *others))).alias("ws"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit("").alias("starts"))
 
     def step(a: Column, w: Column) -> Column:
         joins = (a["n"] > 0) & (F.abs(w["cy"] - a["total"] / F.nullif(a["n"], F.lit(0))) <= F.col("tolerance"))
-        no = F.when(joins, a["no"]).otherwise(a["no"] + 1)
-        return F.struct(no.alias("no"), (F.when(joins, a["total"]).otherwise(0.0) + w["cy"]).alias("total"), (F.when(joins, a["n"]).otherwise(0) + 1).alias("n"), F.array_append(a["out"], no).alias("out"))
+        return F.struct((F.when(joins, a["total"]).otherwise(0.0) + w["cy"]).alias("total"), (F.when(joins, a["n"]).otherwise(0) + 1).alias("n"), F.concat(a["starts"], F.when(joins, "0").otherwise("1")).alias("starts"))
 
-    numbered = pages.withColumn("nos", F.aggregate("ws", start, step, lambda a: a["out"]))
-    return words.join(numbered.select(*PAGE, F.explode(F.arrays_zip("ws", "nos")).alias("z")).select(*PAGE, F.col("z.ws.idx").alias("idx"), F.col("z.nos").alias("line_no")), [*PAGE, "idx"])
+    folded = bind(pages, starts=F.aggregate("ws", start, step, lambda a: a["starts"]))
+    rows = folded.select(*PAGE, "starts", F.posexplode("ws").alias("at", "w"))
+    line_no = F.length(F.replace(F.substring("starts", F.lit(1), F.col("at") + 1), F.lit("0"), F.lit("")))
+    return rows.select(*PAGE, "w.*", line_no.alias("line_no"))
 
 
 def boxes(rows: DataFrame, keys: list[str], order: list[str], sep: str) -> DataFrame:
@@ -143,21 +150,19 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def label_hits(lines: DataFrame) -> DataFrame:
-    """Every place of every label in a line, and where the next one starts (hits may overlap)."""
-    def places(label: str, pattern: str) -> Column:
-        regex = F.lit(f"(?i){pattern}")
-        pieces, found = F.split("text", f"(?i){pattern}", -1), F.regexp_extract_all("text", regex, F.lit(0))
-        start = lambda i: F.length(F.array_join(F.slice(pieces, 1, i), "")) + F.length(F.array_join(F.slice(found, 1, i - 1), ""))
-        return F.transform(
-            F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(start(i).alias("start"), (start(i) + F.length(F.element_at(found, i))).alias("stop"), F.lit(label).alias("label")),
-        )
-
-    any_label = "(?i)" + "|".join(p for _, p in LAYOUT_LABELS)
-    hits = F.array_sort(F.flatten(F.array(*[places(*x) for x in LAYOUT_LABELS])), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-    some = lines.withColumn("text", collapse(F.col("text"))).filter(F.col("text").rlike(any_label)).withColumn("hits", hits)
-    rows = some.select("*", F.posexplode("hits").alias("no", "hit")).withColumn("until", F.coalesce(F.get("hits", F.col("no") + 1)["start"], F.length("text")))
-    return rows.withColumn("label", F.col("hit.label")).withColumn("start", F.col("hit.start")).withColumn("stop", F.col("hit.stop")).drop("hits", "hit")
+    """Every place of every label in a line, numbered from the left, and where the next one starts (hits may overlap)."""
+    def matched(no: int, label: str, pattern: str) -> Column:
+        regex = f"(?i){pattern}"
+        starts = sorted({re.match("[A-Za-z]+", x)[0].lower() for x in pattern.split("|")})  # cheaper to look for than the pattern
+        return F.when(reduce(or_, [F.col("low").contains(x) for x in starts]) & F.col("text").rlike(regex), F.struct(F.lit(no).alias("label_no"), F.lit(label).alias("label"), F.split("text", regex, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(regex), F.lit(0)).alias("found")))
+
+    some = F.array_compact(F.array(*[matched(no, *x) for no, x in enumerate(LAYOUT_LABELS)]))
+    rows = bind(bind(lines, text=collapse(F.col("text"))), low=F.lower("text"))
+    rows = bind(rows, some=some).drop("low").select("*", F.inline("some")).drop("some").select("*", F.posexplode("found").alias("i", "hit"))
+    before = F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i") + 1), "")) + F.length(F.array_join(F.slice("found", F.lit(1), F.col("i")), ""))
+    rows = rows.withColumn("start", before).withColumn("stop", F.col("start") + F.length("hit"))
+    order = Window.partitionBy(*PAGE, "line_no").orderBy("start", "label_no", "i")
+    return rows.withColumn("no", F.row_number().over(order) - 1).withColumn("until", F.coalesce(F.lead("start").over(order), F.length("text"))).drop("pieces", "found", "i", "hit", "label_no")
 
 
 def relationships(lines: DataFrame) -> DataFrame:
@@ -171,9 +176,7 @@ def relationships(lines: DataFrame) -> DataFrame:
     hits = label_hits(placed)
     inline = F.regexp_replace(collapse(F.substring(F.col("text"), F.col("stop") + 1, F.greatest(F.col("until") - F.col("stop"), F.lit(0)))), r"^[:\-]\s*", "")
     near = F.col("below_gap").between(0, LAYOUT["below"] * F.col("median")) & ~blank(F.col("next_text"))
-    hits = (
-        hits.withColumn("inline", F.when(inline != "", inline)).withColumn("below", F.when(F.col("inline").isNull() & near, collapse(F.col("next_text"))))
-    )
+    hits = bind(bind(hits, inline=F.nullif(inline, F.lit(""))), below=F.when(F.col("inline").isNull() & near, collapse(F.col("next_text"))))
     other = lines.select(*PAGE, F.col("line_no").alias("to"), F.col("text").alias("to_text"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("height").alias("th"))
     wanting = hits.filter("inline IS NULL AND below IS NULL").select(*PAGE, "line_no", "no", "x", "y", "width", "height", "median")
     shared = F.least(F.col("y") + F.col("height"), F.col("ty") + F.col("th")) - F.greatest("y", "ty")

@@ -2,85 +2,107 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import AREA_UNITS, NULL_TOKENS
-from ..functions.text import ascii_digits, collapse, let, plain_space
+from ..functions.text import ascii_digits, bind, collapse, plain_space, where
 
 AREA = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(acres?|hectares?|ha|sq\.?\s*m|sqm)?\s*$"
 DATE = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
 
 
+def unless_null_token(plain: Column) -> Column:
+    return F.when(~plain.rlike("(?i)^(?:" + "|".join(map(re.escape, NULL_TOKENS)) + r")\z"), plain)
+
+
 def null_token(c: Column, compose: bool = True) -> Column:
     """Plain text, or null for null tokens."""
-    return let(F.when(c.isNotNull(), plain_space(c, compose)), lambda t: F.when(~F.lower(t).isin(NULL_TOKENS), t))
+    return unless_null_token(F.when(c.isNotNull(), plain_space(c, compose)))
+
+
+# The rules proper, of plain text (single spaces) with ASCII digits.
+def as_text(t: Column) -> Column:
+    return where(t, "[,;]", lambda c: collapse(F.regexp_replace(F.regexp_replace(c, r"\s*,\s*", ", "), r"\s*;\s*", "; ")))
+
+
+def tighter_stops(t: Column) -> Column:
+    return where(t, r"\.", lambda c: collapse(F.regexp_replace(c, r"\s*\.\s*", ". ")))
 
 
-def text_value(c: Column, compose: bool = True) -> Column:
-    c = ascii_digits(null_token(c, compose))
-    return collapse(F.regexp_replace(F.regexp_replace(c, r"(?U)\s*,\s*", ", "), r"(?U)\s*;\s*", "; "))
+def tighter_slashes(t: Column) -> Column:
+    return where(t, "/", lambda c: collapse(F.regexp_replace(c, r"\s*/\s*", "/")))
 
 
-def name_value(c: Column, compose: bool = True) -> Column:
-    return collapse(F.regexp_replace(text_value(c, compose), r"(?U)\s*\.\s*", ". "))
+def as_name(t: Column) -> Column:
+    return tighter_stops(as_text(t))
 
 
-def identifier_value(c: Column, compose: bool = True) -> Column:
-    c = ascii_digits(null_token(c, compose))
-    return collapse(F.regexp_replace(F.regexp_replace(c, r"(?U)\s*/\s*", "/"), r"(?U)\s*-\s*", "-"))
+def as_share(t: Column) -> Column:
+    return tighter_slashes(as_text(t))
 
 
-def date_value(c: Column, compose: bool = True) -> Column:
+def as_identifier(t: Column) -> Column:
+    return where(t, "[/-]", lambda c: collapse(F.regexp_replace(F.regexp_replace(c, r"\s*/\s*", "/"), r"\s*-\s*", "-")))
+
+
+def as_date(t: Column) -> Column:
     """Day, month, year in digits become an ISO date; anything else, impossible dates too, stays as it is."""
-    def iso(t: Column) -> Column:
-        parsed = F.try_to_timestamp(F.regexp_replace(t, DATE, "$1/$2/$3"), F.lit("d/M/yyyy"))
-        return F.when(t.rlike(DATE), F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), t)).otherwise(t)
+    made = F.date_format(F.try_to_timestamp(F.regexp_replace(t, DATE, "$1/$2/$3"), F.lit("d/M/yyyy")), "yyyy-MM-dd")
+    return F.coalesce(F.when(t.rlike(DATE), made), t)
 
-    return let(ascii_digits(null_token(c, compose)), iso)
 
+def area_number(text: Column) -> Column:
+    """The digits of an area, without zeros at the end of a fraction."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(text, AREA, 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
-def share_value(c: Column, compose: bool = True) -> Column:
-    return collapse(F.regexp_replace(text_value(c, compose), r"(?U)\s*/\s*", "/"))
 
+def area_words(text: Column) -> Column:
+    return F.lower(collapse(F.regexp_extract(text, AREA, 2)))
 
-def area_value(c: Column, compose: bool = True) -> Column:
-    """(text, value, unit): number without trailing zeros and canonical unit, or the text alone."""
+
+def area_unit(words: Column) -> Column:
+    """The canonical unit for the words behind an area's number; null without any."""
     units = F.create_map(*[F.lit(x) for pair in AREA_UNITS.items() for x in pair])
+    return F.when(words != "", F.coalesce(units[words], words))
+
 
-    def parts(text: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(text, AREA, 1), r"(\.\d*?)0+$", "$1")
-        raw = F.lower(collapse(F.regexp_extract(text, AREA, 2)))
-        return F.struct(text.alias("text"), text.rlike(AREA).alias("fits"), F.regexp_replace(number, r"\.$", "").alias("value"), F.when(raw != "", F.coalesce(units[raw], raw)).alias("unit"))
+def as_area(t: Column) -> Column:
+    """(text, value, unit, structured): number without trailing zeros and canonical unit, or the text alone."""
+    text = collapse(t)
+    fits = F.coalesce(text.rlike(AREA), F.lit(False))
+    number, unit = F.when(fits, area_number(text)), F.when(fits, area_unit(area_words(text)))
+    return F.struct(F.when(fits, F.concat_ws(" ", number, unit)).otherwise(text).alias("text"), number.alias("value"), unit.alias("unit"), fits.alias("structured"))
 
-    def result(p: Column) -> Column:
-        fits = F.coalesce(p["fits"], F.lit(False))
-        return F.struct(
-            F.when(fits, F.concat_ws(" ", p["value"], p["unit"])).otherwise(p["text"]).alias("text"),
-            F.when(fits, p["value"]).alias("value"), F.when(fits, p["unit"]).alias("unit"), fits.alias("structured"),
-        )
 
-    return let(let(collapse(ascii_digits(null_token(c, compose))), parts), result)
+def _of(rule: Callable[[Column], Column]) -> Callable[..., Column]:
+    return lambda c, compose=True: rule(ascii_digits(null_token(c, compose)))
+
+
+text_value, name_value, identifier_value, date_value, share_value, area_value = map(_of, (as_text, as_name, as_identifier, as_date, as_share, as_area))
 
 
 def normalize_fields(fields: DataFrame, compose: bool = True) -> DataFrame:
     """Adds raw_value, normalized_value, area_value, area_unit, area_structured and normalization_status to rows with value
     and normalizer."""
-    v = F.col("value")
-    rule = (
-        F.when(F.col("normalizer") == "name", name_value(v, compose))
-        .when(F.col("normalizer") == "identifier", identifier_value(v, compose))
-        .when(F.col("normalizer") == "date", date_value(v, compose))
-        .when(F.col("normalizer") == "share", share_value(v, compose))
-        .when(F.col("normalizer") == "area", F.lit(None).cast("string"))
-        .otherwise(text_value(v, compose))
-    )
-    area = F.when(F.col("normalizer") == "area", area_value(v, compose)).otherwise(F.struct(rule.alias("text"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(False).alias("structured")))
-    text = F.col("_n.text")
-    return fields.withColumn("_n", area).withColumns({
-        "raw_value": v, "normalized_value": text, "area_value": F.col("_n.value"), "area_unit": F.col("_n.unit"), "area_structured": F.col("_n.structured"),
-        "normalization_status": F.when(text.isNull(), "missing").otherwise("normalized"),
-    }).drop("_n")
+    kind, t, x, fits = (F.col(c) for c in ("normalizer", "_t", "_x", "_fits"))
+    area = kind == "area"
+    # Few expressions a step: generated methods stay so small that they are compiled to machine code.
+    out = bind(fields.withColumn("_p", F.when(F.col("value").isNotNull(), plain_space(F.col("value"), compose))), _p=F.col("_p"))
+    out = bind(out, _t=ascii_digits(unless_null_token(F.col("_p"))))
+    out = bind(out, _x=F.when(kind == "identifier", as_identifier(t)).when(kind == "date", t).when(area, collapse(t)).otherwise(as_text(t)))
+    out = bind(out, _y=F.when(kind == "name", tighter_stops(x)).when(kind == "share", tighter_slashes(x)).when(kind == "date", as_date(x)).otherwise(x), _fits=area & F.coalesce(x.rlike(AREA), F.lit(False)))
+    # an expression that stands in several places is made for all rows, whatever the conditions around it: so bind it first
+    out = bind(out, _number=F.when(fits, area_number(x)), _words=F.when(fits, area_words(x)))
+    out = bind(out, _unit=area_unit(F.col("_words")))
+    out = bind(out, normalized_value=F.when(fits, F.concat_ws(" ", "_number", "_unit")).otherwise(F.col("_y")))
+    return out.withColumns({
+        "raw_value": F.col("value"), "area_value": F.col("_number"), "area_unit": F.col("_unit"), "area_structured": fits,
+        "normalization_status": F.when(F.col("normalized_value").isNull(), "missing").otherwise("normalized"),
+    }).drop("_p", "_t", "_x", "_y", "_fits", "_number", "_words", "_unit")
 
 
 def normalization_summary(fields: DataFrame, keys: list[str]) -> DataFrame:

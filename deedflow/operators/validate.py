@@ -5,62 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import FIELDS, KNOWN_UNITS
-from ..functions.text import alphanumerics, blank, has_letter, let
+from ..catalog import FIELDS, GENERAL, ISO_DATE, KNOWN_UNITS, LAND, MESSAGES, NUMBER, SHARE, WARNINGS
+from ..functions.text import alphanumerics, bind, blank, has_letter
 
 ISSUE = "struct<code:string,severity:string,message:string,field:string,scope:string>"
-LAND = r"^[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*$"
-GENERAL = r"^[A-Za-z0-9]+(?:[./_-][A-Za-z0-9]+)*$"
-SHARE = r"^(\d+)/(\d+)(?:\s*\([^()]+\))?$"
-NUMBER = r"^\d+(?:\.\d+)?$"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
-
-# What issues say.
-MESSAGES = {
-    "FIELD_MISSING": "Field is missing.",
-    "NAME_NO_LETTERS": "Name does not contain alphabetic characters.",
-    "NAME_TOO_SHORT": "Name is unusually short.",
-    "NAME_SUSPICIOUS_CHARACTERS": "Name contains unusual characters.",
-    "LOCATION_NO_LETTERS": "Location does not contain alphabetic characters.",
-    "LOCATION_REPEATED_CHARACTER": "Location contains an unusually repeated single character and may be OCR noise.",
-    "LOCATION_TOO_SHORT": "Location is unusually short.",
-    "TEXT_NO_CONTENT": "Text contains no alphanumeric content.",
-    "DATE_INVALID_FORMAT": "Date must use normalized YYYY-MM-DD format.",
-    "DATE_INVALID_CALENDAR_DATE": "Date is not a valid calendar date.",
-    "LAND_IDENTIFIER_INVALID_FORMAT": "Land identifier contains an invalid structure.",
-    "IDENTIFIER_INVALID_FORMAT": "Identifier contains an invalid structure.",
-    "AREA_STRUCTURE_MISSING": "Area does not contain normalized numeric/unit structure.",
-    "AREA_INVALID_NUMBER": "Area does not contain a valid numeric value.",
-    "AREA_NON_POSITIVE": "Area must be greater than zero.",
-    "AREA_UNIT_MISSING": "Area value does not include a unit.",
-    "AREA_UNIT_UNKNOWN": "Unrecognized area unit.",
-    "SHARE_INVALID_FORMAT": "Ownership share must use a fraction such as '1/1' or '1/2', optionally followed by text in parentheses.",
-    "SHARE_ZERO_DENOMINATOR": "Ownership share denominator cannot be zero.",
-    "SHARE_ZERO_NUMERATOR": "Ownership share numerator is zero.",
-    "SHARE_EXCEEDS_WHOLE": "Ownership share numerator exceeds denominator.",
-    "DATE_ORDER_REVIEW": "Registration date is earlier than mutation date.",
-}
-WARNINGS = {"FIELD_MISSING", "NAME_TOO_SHORT", "NAME_SUSPICIOUS_CHARACTERS", "LOCATION_REPEATED_CHARACTER", "LOCATION_TOO_SHORT", "AREA_UNIT_MISSING", "SHARE_ZERO_NUMERATOR", "SHARE_EXCEEDS_WHOLE", "DATE_ORDER_REVIEW"}
-
-
-def issue(code: str, when: Column, field: Column, scope: str = "field") -> Column:
-    made = F.struct(F.lit(code).alias("code"), F.lit("warning" if code in WARNINGS else "error").alias("severity"), F.lit(MESSAGES[code]).alias("message"), field.alias("field"), F.lit(scope).alias("scope"))
-    return F.when(when, made)
-
-
-def rules(r: Column) -> dict[str, list[tuple[str, Column]]]:
-    """Conditions of each validator's issues, in the order in which they are reported."""
-    v = r["normalized_value"]
-    letters = F.lower(F.regexp_replace(v, r"\P{L}", ""))
-    n_letters, n_distinct = F.length(letters), F.size(F.array_distinct(F.split(letters, "")))
-    number, unit, structured = r["area_value"], r["area_unit"], r["area_structured"]
+
+
+ERRORS = [c for c in MESSAGES if c not in WARNINGS]
+
+
+def issues_of(codes: Column, field: Column, scope: str = "field") -> Column:
+    """The issues of a comma-separated text of codes."""
+    said = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    severity = lambda c: F.when(c.isin(sorted(WARNINGS)), "warning").otherwise("error")
+    made = F.transform(F.split(codes, ","), lambda c: F.struct(c.alias("code"), severity(c).alias("severity"), said[c].alias("message"), field.alias("field"), F.lit(scope).alias("scope")))
+    return F.when(codes == "", F.array().cast(f"array<{ISSUE}>")).otherwise(made)
+
+
+def rules() -> dict[str, list[tuple[str, Column]]]:
+    """Conditions of each validator's issues, in the order in which they are reported.  _letters: those of a location, in lower case."""
+    v, number, unit, structured = (F.col(c) for c in ("normalized_value", "area_value", "area_unit", "area_structured"))
+    letters = F.col("_letters")
+    n_letters = F.length(letters)
+    same = F.replace(letters, F.substring(letters, 1, 1), F.lit("")) == ""
     is_number = F.coalesce(number.rlike(NUMBER), F.lit(False))
-    top, bottom = (F.try_to_number(F.regexp_extract(v, SHARE, i), F.lit("9" * 18)) for i in (1, 2))
+    # whole numbers of any length, compared by length and then by digits
+    top, bottom = (F.regexp_replace(F.regexp_extract(v, SHARE, i), "^0+", "") for i in (1, 2))
+    more = (F.length(top) > F.length(bottom)) | ((F.length(top) == F.length(bottom)) & (top > bottom))
     share_ok = v.rlike(SHARE)
     iso = v.rlike(ISO_DATE)
     return {
         "name": [("NAME_NO_LETTERS", ~has_letter(v)), ("NAME_TOO_SHORT", has_letter(v) & (alphanumerics(v) < 2)), ("NAME_SUSPICIOUS_CHARACTERS", has_letter(v) & v.rlike(r"[<>{}\[\]|]"))],
-        "location": [("LOCATION_NO_LETTERS", ~has_letter(v)), ("LOCATION_REPEATED_CHARACTER", (n_letters >= 3) & (n_distinct == 1)), ("LOCATION_TOO_SHORT", n_letters == 1)],
+        "location": [("LOCATION_NO_LETTERS", ~has_letter(v)), ("LOCATION_REPEATED_CHARACTER", (n_letters >= 3) & same), ("LOCATION_TOO_SHORT", n_letters == 1)],
         "text": [("TEXT_NO_CONTENT", alphanumerics(v) == 0)],
         "date": [("DATE_INVALID_FORMAT", ~iso), ("DATE_INVALID_CALENDAR_DATE", iso & F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).isNull())],
         "land": [("LAND_IDENTIFIER_INVALID_FORMAT", ~v.rlike(LAND))],
@@ -69,32 +45,32 @@ def rules(r: Column) -> dict[str, list[tuple[str, Column]]]:
             ("AREA_STRUCTURE_MISSING", ~structured), ("AREA_INVALID_NUMBER", structured & ~is_number), ("AREA_NON_POSITIVE", structured & is_number & (number.try_cast("double") <= 0)),
             ("AREA_UNIT_MISSING", structured & unit.isNull()), ("AREA_UNIT_UNKNOWN", structured & unit.isNotNull() & ~unit.isin(KNOWN_UNITS)),
         ],
-        "share": [("SHARE_INVALID_FORMAT", ~share_ok), ("SHARE_ZERO_DENOMINATOR", share_ok & (bottom == 0)), ("SHARE_ZERO_NUMERATOR", share_ok & (bottom != 0) & (top == 0)), ("SHARE_EXCEEDS_WHOLE", share_ok & (bottom != 0) & (top > bottom))],
+        "share": [("SHARE_INVALID_FORMAT", ~share_ok), ("SHARE_ZERO_DENOMINATOR", share_ok & (bottom == "")), ("SHARE_ZERO_NUMERATOR", share_ok & (bottom != "") & (top == "")), ("SHARE_EXCEEDS_WHOLE", share_ok & (bottom != "") & more)],
     }
 
 
-def status_of(issues: Column, missing: Column) -> Column:
-    return (
-        F.when(missing, "missing").when(F.exists(issues, lambda x: x["severity"] == "error"), "invalid")
-        .when(F.exists(issues, lambda x: x["severity"] == "warning"), "warning").otherwise("valid")
-    )
+def codes_of(some: dict[str, list[tuple[str, Column]]]) -> Column:
+    """Codes of the issues that rows of these validators have, comma-separated; null for other rows."""
+    out = F
+    for name, own in some.items():
+        out = out.when(F.col("validator") == name, F.concat_ws(",", *[F.when(when, code) for code, when in own]))
+    return out
+
+
+def status_of(codes: Column) -> Column:
+    found = F.split(codes, ",")
+    return F.when(codes.isNull(), "not_checked").when(codes == "FIELD_MISSING", "missing").when(codes == "", "valid").when(F.arrays_overlap(found, F.array(*map(F.lit, ERRORS))), "invalid").otherwise("warning")
 
 
 def validate_fields(fields: DataFrame) -> DataFrame:
     """Adds validation_issues and validation_status to normalised rows with validator; unknown validators are not_checked."""
-    def judged(r: Column) -> Column:
-        missing = blank(r["normalized_value"])
-        found, known = [issue("FIELD_MISSING", missing, r["field"])], rules(r)
-        for validator, own in known.items():
-            found.append(issue(own[0][0], ~missing & (r["validator"] == validator) & own[0][1], r["field"]))
-            found += [issue(code, ~missing & (r["validator"] == validator) & when, r["field"]) for code, when in own[1:]]
-        return F.struct(F.filter(F.array(*found), lambda x: x.isNotNull()).alias("issues"), missing.alias("missing"), F.coalesce(r["validator"].isin(list(known)), F.lit(False)).alias("checked"))
-
-    def status(j: Column) -> Column:
-        return F.struct(j["issues"].alias("issues"), F.when(~j["missing"] & ~j["checked"], "not_checked").otherwise(status_of(j["issues"], j["missing"])).alias("status"))
-
-    row = F.struct("field", "normalized_value", "area_value", "area_unit", "area_structured", "validator")
-    return fields.withColumn("_v", let(let(row, judged), status)).withColumns({"validation_issues": F.col("_v.issues"), "validation_status": F.col("_v.status")}).drop("_v")
+    known = list(rules().items())
+    v = F.col("normalized_value")
+    judged = bind(fields, _codes=F.when(blank(v), "FIELD_MISSING"), _letters=F.when(F.col("validator") == "location", F.lower(F.regexp_replace(v, r"\P{L}", ""))))
+    for some in (known[:3], known[3:6], known[6:]):
+        judged = bind(judged, _codes=F.coalesce("_codes", codes_of(dict(some))))
+    # not bound: made from bound columns, and left out where nothing reads it
+    return judged.withColumns({"validation_issues": issues_of(F.coalesce("_codes", F.lit("")), F.col("field")), "validation_status": status_of(F.col("_codes"))}).drop("_codes", "_letters")
 
 
 def cross_field_issues(fields: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..catalog import FIELDS
-from ..functions.text import DEVANAGARI
+from ..catalog import DEVANAGARI, FIELDS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -54,24 +53,28 @@ SELECT 'DOC-' || lpad(cast(k as string), 8, '0') AS document_id, k AS seq,
 FROM base
 """
 
-#: A row per record and field, with provenance.
+#: Where a field's value came from, by record and field.
+PROVENANCE = {
+    "evidence_type": "CASE (seq + ordinal) % 9 WHEN 0 THEN 'layout_relationship' WHEN 1 THEN 'layout_same_line' WHEN 2 THEN 'layout_below_label' WHEN 3 THEN 'layout_table' WHEN 4 THEN 'composer_fallback' WHEN 5 THEN 'ocr_fallback' WHEN 6 THEN 'mystery' WHEN 7 THEN 'layout_relationship' END",
+    "source_text": "CASE WHEN (seq + ordinal) % 10 = 0 THEN NULL ELSE field || ' line' END",
+    "n_source_lines": "cast((seq + ordinal) % 4 as int)",
+    "source_page": "CASE WHEN (seq + ordinal) % 11 <> 0 THEN 1 END",
+    "matched_label": "CASE WHEN (seq + ordinal) % 13 = 0 THEN ' ' ELSE field END",
+}
+#: A row per record and field, for the oracles.
 RAW_LONG = f"""
 SELECT document_id, seq, field, ordinal, section, normalizer, validator,
   CASE field {" ".join(f"WHEN '{f[0]}' THEN {f[0]}" for f in FIELDS)} END AS value,
-  CASE (seq + ordinal) % 9 WHEN 0 THEN 'layout_relationship' WHEN 1 THEN 'layout_same_line' WHEN 2 THEN 'layout_below_label' WHEN 3 THEN 'layout_table' WHEN 4 THEN 'composer_fallback' WHEN 5 THEN 'ocr_fallback' WHEN 6 THEN 'mystery' WHEN 7 THEN 'layout_relationship' END AS evidence_type,
-  CASE WHEN (seq + ordinal) % 10 = 0 THEN NULL ELSE field || ' line' END AS source_text,
-  cast((seq + ordinal) % 4 as int) AS n_source_lines,
-  CASE WHEN (seq + ordinal) % 11 <> 0 THEN 1 END AS source_page,
-  CASE WHEN (seq + ordinal) % 13 = 0 THEN ' ' ELSE field END AS matched_label
+  {", ".join(f"{e} AS {c}" for c, e in PROVENANCE.items())}
 FROM ({RAW_WIDE}) AS r CROSS JOIN {CATALOG}
 """
 
 #: Positioned words of a document, 240 to a page; idx runs through the document, places start anew on each page.
 WORDS = r"""
-WITH split_up AS (SELECT doc_id, {split} AS w FROM {documents}),
-numbered AS (SELECT doc_id, {explode} FROM split_up),
+WITH split_up AS (SELECT doc_id, document_id, {split} AS w FROM {sheets}),
+numbered AS (SELECT doc_id, document_id, {explode} FROM split_up),
 placed AS (SELECT *, i % 240 AS k FROM numbered)
-SELECT cast(doc_id as string) AS document_id, cast(floor(i / 240) as int) + 1 AS page, cast(i as int) AS idx, word AS text,
+SELECT document_id, cast(floor(i / 240) as int) + 1 AS page, cast(i as int) AS idx, word AS text,
   cast((k % 12) * 90 as double) AS x, cast(cast(floor(k / 12) as int) * 40 + (k * 7) % 11 as double) AS y,
   cast(9 * length(word) as double) AS width, cast(16 + doc_id % 5 as double) AS height, cast((i * 37 + doc_id) % 101 as double) AS conf
 FROM placed WHERE word <> ''
@@ -79,6 +82,12 @@ FROM placed WHERE word <> ''
 WORDS_SPARK = WORDS.replace("{split}", r"split(text, '[ \\t\\n\\r\\f]+')").replace("{explode}", "posexplode(w) AS (i, word)")
 WORDS_DUCK = WORDS.replace("{split}", r"regexp_split_to_array(text, '[ \t\n\r\f]+')").replace("{explode}", "unnest(range(0, len(w))) AS i, w[unnest(range(1, len(w) + 1))] AS word")
 
+#: What rows are multiplied from; Spark deals these tables by document_id before, which later groupings use.
+SOURCES = {
+    "sheets": "SELECT doc_id, cast(doc_id as string) AS document_id, text FROM {documents}",
+    "forms": "SELECT 'DOC-' || lpad(cast(o_orderkey as string), 8, '0') AS document_id, o_orderkey AS k, c_name, n_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
+}
+
 #: Recognised lines of a form for each order: sections, labels with values behind, below and to the right.
 FORM = [
     ("'Landowner Details'", 0, 40), ("'Owner Name: ' || c_name || ' Village: ' || n_name", 60, 40), ("'Address'", 110, 40), ("'Lane ' || cast(k % 9 as string) || ', Ward 3'", 160, 40),
@@ -88,10 +97,10 @@ FORM = [
     ("'Mutation  Records'", 800, 40), ("'Mutation Date: 12/03/20' || lpad(cast(k % 20 as string), 2, '0') || ' Type; Sale'", 850, 40), ("'Latest Mutation Entry No: ' || cast(100 + k % 900 as string)", 900, 40),
     ("'REGISTRATION INFORMATION'", 1100, 40), ("'Registered Document | No. ' || cast(k as string) || '/2018'", 1150, 40), ("'Sub-Registrar Office: ' || n_name || ' ;'", 1200, 40), ("'Date - 15.03.2018'", 1250, 40),
 ]
-LINES = "WITH base AS (SELECT o_orderkey AS k, c_name, n_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)\n" + (
-    "SELECT 'DOC-' || lpad(cast(k as string), 8, '0') AS document_id, 1 AS page, no AS line_no, CASE no "
+LINES = (
+    "SELECT document_id, 1 AS page, no AS line_no, CASE no "
     + " ".join(f"WHEN {i} THEN {text}" for i, (text, _, _) in enumerate(FORM, 1))
-    + " END AS text, cast(x as double) AS x, cast(y as double) AS y, cast(200 as double) AS width, cast(30 as double) AS height, 90.0 AS conf FROM base CROSS JOIN (VALUES "
+    + " END AS text, cast(x as double) AS x, cast(y as double) AS y, cast(200 as double) AS width, cast(30 as double) AS height, 90.0 AS conf FROM {forms} CROSS JOIN (VALUES "
     + ", ".join(f"({i}, {x}, {y})" for i, (_, y, x) in enumerate(FORM, 1)) + ") AS f(no, x, y)"
 )
 
@@ -128,10 +137,13 @@ FROM {embeddings}
 
 def spark_rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    dealt = {name: spark_rows(spark, sf_dir, source).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id") for name, source in SOURCES.items() if "{" + name + "}" in text}
+    return spark.sql(text, **used, **dealt)
 
 
 def duck(text: str) -> str:
+    for name, source in SOURCES.items():
+        text = text.replace("{" + name + "}", f"({source})")
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     return f"({text})"

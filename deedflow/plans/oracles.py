@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..catalog import AREA_UNITS, DUPLICATE_RANK, EVIDENCE_SCORES, FIELDS, IDENTIFIERS, KNOWN_UNITS, NULL_TOKENS, SECTIONS
-from ..functions.text import DEVANAGARI
-from ..operators.extract import ALL_LABELS, any_of
+import re
+
+from ..catalog import AREA_UNITS, DEVANAGARI, DUPLICATE_RANK, EVIDENCE_SCORES, FIELDS, IDENTIFIERS, KNOWN_UNITS, LAYOUT_LABELS, MESSAGES, NULL_TOKENS, SECTIONS
 from . import adapters as A
 
 RAW, WIDE, REG, DEC, WORDS, LINES = (A.duck(x) for x in (A.RAW_LONG, A.RAW_WIDE, A.REGISTRY, A.DECISIONS, A.WORDS_DUCK, A.LINES))
@@ -150,6 +150,9 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id,
 REVIEW = f"""{MADE},
 opened AS (SELECT s.document_id, s.field, s.ordinal, coalesce(s.v, s.raw_value) AS machine, review = 'required' OR status IN ('warning', 'invalid', 'missing', 'not_checked') AS needed, l.decision AS dec, l.edited_value AS edit FROM scored s LEFT JOIN latest l ON l.document_id = s.document_id AND l.field = s.field),
 reviewed AS (SELECT document_id, field, ordinal, needed, coalesce(dec, CASE WHEN needed THEN 'pending' ELSE 'auto_accepted' END) AS decision, CASE WHEN dec = 'accepted' THEN machine WHEN dec = 'edited' THEN edit WHEN dec IS NULL AND NOT needed THEN machine END AS verified FROM opened)"""
+SAID = lookup("x", {c: m.replace("'", "''") for c, m in MESSAGES.items()}, "''")
+SQL["review_reasons"] = f"""WITH {SCORED}, said AS (SELECT list_concat(CASE WHEN review = 'required' THEN [reason] ELSE [] END, list_transform(codes, lambda x: {SAID})) AS all_said FROM scored),
+firsts AS (SELECT array_to_string(list_filter(all_said, lambda x, i: list_position(all_said, x) = i), ' / ') AS reasons FROM said) SELECT reasons, count(*) AS n FROM firsts GROUP BY reasons"""
 SQL["review_latest_decision"] = f"WITH {MADE} SELECT document_id, field, decision, edited_value, reviewer, n_decisions, event_seq FROM latest"
 SQL["review_before_after"] = f"WITH {MADE} SELECT document_id, field, event_seq, decision, edited_value, coalesce(lag(decision) OVER w, 'pending') AS previous_decision, lag(edited_value) OVER w AS previous_value, (row_number() OVER w)::INT AS nth FROM made WINDOW w AS (PARTITION BY document_id, field ORDER BY event_seq)"
 SQL["review_queue"] = f"WITH {SCORED}, {REVIEW} SELECT document_id, count(*)::INT AS n_pending, string_agg(field, ',' ORDER BY ordinal) AS queue FROM reviewed WHERE needed AND decision = 'pending' GROUP BY document_id"
@@ -221,19 +224,68 @@ SQL["section_fill"] = f"WITH {FILLED} SELECT document_id, line_no, header, secti
 SQL["reading_order"] = f"""WITH b AS (SELECT document_id, page, idx AS block_no, CASE WHEN document_id::BIGINT % 2 = 0 THEN x / 9 WHEN x >= 540 THEN x + 300 ELSE x END AS x, y FROM {WORDS} w),
 g AS (SELECT *, x - lag(x) OVER (PARTITION BY document_id, page ORDER BY x) AS gap FROM b), m AS (SELECT *, max(coalesce(gap, 0)) OVER (PARTITION BY document_id, page) > 300 AS col FROM g)
 SELECT document_id, page, block_no, (row_number() OVER (PARTITION BY document_id, page ORDER BY CASE WHEN col THEN x ELSE 0 END, CASE WHEN col THEN y ELSE 0 END, block_no))::INT AS pos FROM m"""
-PATTERNS = "(VALUES " + ", ".join(f"('{n}', '{s}', '{any_of(ls)}')" for n, s, _, _, ls in FIELDS) + ") AS c(field, field_section, pattern)"
+
+
+def spelled(labels: list[str]) -> str:
+    """A regular expression for any of the labels, the longest first, with separators between their words."""
+    ordered = sorted(set(labels), key=lambda x: (-len(x), x))
+    return "(?i)(?:" + "|".join(r"\b" + r"[\s._:/|,\-]*".join(re.findall("[A-Za-z0-9]+", x)) + r"\.?\b" for x in ordered) + ")"
+
+
+EVERY_LABEL = spelled([x for f in FIELDS for x in f[4]])
 V, EX = cleaned("raw"), lambda c, p: f"nullif(regexp_extract({c}, '{p}'), '')"
 PARSED = f"""CASE WHEN field IN ('mutation_date', 'registration_date') THEN {EX('cv', r'\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}\b')} WHEN field IN ('survey_number', 'khasra_number', 'khata_number') THEN {EX('cv', r'\b\d+(?:[/\-][A-Za-z0-9]+)*\b')}
 WHEN field = 'mutation_entry_number' THEN {EX('cv', r'\b\d+[A-Za-z0-9/\-]*\b')} WHEN field = 'registered_document_number' THEN coalesce({EX('cv', r'\b[A-Za-z0-9\-]+/\d{4}\b')}, {EX('cv', r'\b\d{2,}\b')})
 WHEN field = 'plot_area' THEN nullif({cleaned(EX('cv', r'(?i)\b\d+(?:\.\d+)?(?:\s*(?:acres?|hectares?|ha|sq\.?\s*m|sqm))?'))}, '') ELSE nullif(cv, '') END"""
-LABELLED = f"""{FILLED},
-hits AS (SELECT l.*, field, field_section, pattern, regexp_extract(text, pattern) AS label, length(regexp_extract(text, '(?s)^(.*?)' || pattern, 1)) AS pos0 FROM filled l, {PATTERNS} WHERE (section IS NULL OR section = field_section) AND regexp_matches(text, pattern)),
-rest AS (SELECT *, substr(text, pos0 + length(label) + 1) AS after FROM hits),
-behind AS (SELECT *, {cleaned(f"CASE WHEN regexp_matches(after, '{ALL_LABELS}') THEN regexp_extract(after, '(?s)^(.*?){ALL_LABELS}', 1) ELSE after END")} AS raw FROM rest)"""
-SQL["extract_label_value"] = f"WITH {LABELLED}, p AS (SELECT *, {V} AS cv FROM behind WHERE raw <> ''), q AS (SELECT document_id, line_no, field, raw, {PARSED} AS value, lower(label) AS label FROM p) SELECT * FROM q WHERE value IS NOT NULL"
-SQL["extract_below"] = f"""WITH {LABELLED}, nxt AS (SELECT document_id, line_no, lead(text) OVER w AS nt, lead(header) OVER w AS nh FROM filled WINDOW w AS (PARTITION BY document_id, page ORDER BY line_no)),
-b AS (SELECT behind.document_id, behind.line_no, field, nt FROM behind JOIN nxt ON nxt.document_id = behind.document_id AND nxt.line_no = behind.line_no WHERE raw = '' AND nt IS NOT NULL AND nh IS NULL AND NOT regexp_matches(nt, '{ALL_LABELS}')),
-p AS (SELECT *, {cleaned('nt')} AS cv FROM b), q AS (SELECT document_id, line_no, field, {PARSED} AS value FROM p) SELECT * FROM q WHERE value IS NOT NULL"""
+FOUND = " UNION ALL ".join(
+    f"SELECT document_id, page, line_no, text, '{n}' AS field, '{sec}' AS field_section, regexp_extract(text, '{spelled(ls)}') AS label, length(regexp_extract(text, '(?s)^(.*?){spelled(ls)}', 1)) AS pos0 FROM filled WHERE (section IS NULL OR section = '{sec}') AND regexp_matches(text, '{spelled(ls)}')"
+    for n, sec, _, _, ls in FIELDS
+)
+LABELLED = f"""{FILLED.replace('filled AS (', 'filled AS MATERIALIZED (', 1)},
+rest AS (SELECT *, substr(text, pos0 + length(label) + 1) AS after FROM ({FOUND})),
+behind AS MATERIALIZED (SELECT *, {cleaned(f"CASE WHEN regexp_matches(after, '{EVERY_LABEL}') THEN regexp_extract(after, '(?s)^(.*?){EVERY_LABEL}', 1) ELSE after END")} AS raw FROM rest),
+nxt AS (SELECT document_id, page, line_no, lead(text) OVER w AS nt, lead(header) OVER w AS nh FROM filled WINDOW w AS (PARTITION BY document_id, page ORDER BY line_no)),
+inline_values AS (SELECT * FROM (SELECT document_id, page, line_no, field, raw, {PARSED} AS value, lower(label) AS label FROM (SELECT *, {V} AS cv FROM behind WHERE raw <> '')) WHERE value IS NOT NULL),
+below_values AS (SELECT * FROM (SELECT document_id, page, line_no, field, {PARSED} AS value FROM (SELECT b.document_id, b.page, b.line_no, field, {cleaned('nt')} AS cv FROM behind b JOIN nxt n ON n.document_id = b.document_id AND n.page = b.page AND n.line_no = b.line_no
+  WHERE raw = '' AND nt IS NOT NULL AND nh IS NULL AND NOT regexp_matches(nt, '{EVERY_LABEL}'))) WHERE value IS NOT NULL)"""
+SQL["extract_label_value"] = f"WITH {LABELLED} SELECT document_id, line_no, field, raw, value, label FROM inline_values"
+SQL["extract_below"] = f"WITH {LABELLED} SELECT document_id, line_no, field, value FROM below_values"
+
+# Label places: pieces between the matches of a label, added up.
+PLACES = " UNION ALL ".join(
+    f"SELECT document_id, page, line_no, {i} AS label_no, '{label.replace(chr(39), chr(39) * 2)}' AS label, string_split_regex(t, '(?i){pattern}') AS pieces, regexp_extract_all(t, '(?i){pattern}') AS matches FROM l WHERE regexp_matches(t, '(?i){pattern}')"
+    for i, (label, pattern) in enumerate(LAYOUT_LABELS)
+)
+BELOW = "coalesce(below_gap BETWEEN 0 AND 2 * mid AND trim(next_text) <> '', false)"
+RELATIONS = f"""
+l AS MATERIALIZED (SELECT *, {collapse('text')} AS t FROM {LINES} l),
+m AS (SELECT document_id, page, coalesce(median(height) FILTER (WHERE height > 0), 20) AS mid FROM l GROUP BY ALL),
+n AS (SELECT l.*, mid, lead(text) OVER w AS next_text, lead(line_no) OVER w AS next_line, lead(y) OVER w - (y + height) AS below_gap FROM l JOIN m ON m.document_id = l.document_id AND m.page = l.page WINDOW w AS (PARTITION BY l.document_id, l.page ORDER BY line_no)),
+spots AS (SELECT document_id, page, line_no, label_no, label, matches, pieces, unnest(range(1, len(matches) + 1)) AS i FROM ({PLACES})),
+hit AS (SELECT document_id, page, line_no, label_no, label, i, length(array_to_string(pieces[1:i], '')) + length(array_to_string(matches[1:i - 1], '')) AS start, length(matches[i]) AS size FROM spots),
+ordered AS (SELECT h.*, n.t, n.next_text, n.next_line, n.below_gap, n.mid, n.x, n.y, n.width, n.height, (row_number() OVER w - 1)::INT AS hit_no, coalesce(lead(start) OVER w, length(t)) AS until
+  FROM hit h JOIN n ON n.document_id = h.document_id AND n.page = h.page AND n.line_no = h.line_no WINDOW w AS (PARTITION BY h.document_id, h.page, h.line_no ORDER BY start, label_no, i)),
+behind_label AS (SELECT *, regexp_replace({collapse('substr(t, start + size + 1, greatest(until - start - size, 0))')}, '^[:\\-]\\s*', '') AS own FROM ordered),
+beside AS (SELECT a.document_id, a.page, a.line_no, a.hit_no, arg_min(b.line_no, (b.x - (a.x + a.width), b.line_no)) AS right_line, arg_min({collapse('b.text')}, (b.x - (a.x + a.width), b.line_no)) AS right_text
+  FROM behind_label a JOIN l b ON a.document_id = b.document_id AND a.page = b.page AND a.line_no <> b.line_no
+  WHERE own = '' AND NOT {BELOW} AND least(a.height, b.height) > 0
+    AND least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) >= 0.5 * least(a.height, b.height) AND b.x - (a.x + a.width) BETWEEN 0 AND 15 * mid GROUP BY ALL),
+rels AS MATERIALIZED (SELECT a.document_id, a.page, a.line_no, a.hit_no, label, CASE WHEN own <> '' THEN own WHEN {BELOW} THEN {collapse('next_text')} ELSE right_text END AS value,
+  CASE WHEN own <> '' THEN 'same_line' WHEN {BELOW} THEN 'below' WHEN right_line IS NOT NULL THEN 'right' END AS relation,
+  CASE WHEN own <> '' THEN NULL WHEN {BELOW} THEN next_line ELSE right_line END AS target_line
+  FROM behind_label a LEFT JOIN beside b ON b.document_id = a.document_id AND b.page = a.page AND b.line_no = a.line_no AND b.hit_no = a.hit_no)"""
+SQL["relationships"] = f"WITH {RELATIONS} SELECT document_id, line_no, hit_no, label, value, relation, target_line FROM rels"
+
+FOLDED = collapse("lower(translate(label, '’‘–—', '''''--'))")
+BY_RELATION = " UNION ALL ".join(f"SELECT document_id, page, line_no, value AS raw, '{n}' AS field FROM sectioned WHERE (section IS NULL OR section = '{sec}') AND regexp_matches(folded, '{spelled(ls)}')" for n, sec, _, _, ls in FIELDS)
+FIRST = f"""{LABELLED}, {RELATIONS},
+sectioned AS MATERIALIZED (SELECT r.*, f.section, {FOLDED} AS folded FROM rels r JOIN filled f ON f.document_id = r.document_id AND f.page = r.page AND f.line_no = r.line_no WHERE r.value IS NOT NULL),
+by_relation AS (SELECT * FROM (SELECT document_id, page, line_no, field, {PARSED} AS value FROM (SELECT *, {V} AS cv FROM ({BY_RELATION}))) WHERE value IS NOT NULL),
+sources AS (SELECT document_id, page, line_no, field, value, 'layout_relationship' AS evidence_type, 0 AS prio FROM by_relation UNION ALL SELECT document_id, page, line_no, field, value, 'layout_same_line', 1 FROM inline_values
+  UNION ALL SELECT document_id, page, line_no, field, value, 'layout_below_label', 2 FROM below_values),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field ORDER BY prio, page, line_no, value) AS nth FROM sources) WHERE nth = 1)"""
+SQL["extract_first_wins"] = f"WITH {FIRST} SELECT document_id, field, value, evidence_type, line_no FROM firsts"
+SQL["extract_complete"] = f"WITH {FIRST} SELECT document_id, {len(FIELDS)}::BIGINT AS total_fields, count(value) AS extracted, {len(FIELDS)} - count(value) AS missing FROM firsts GROUP BY document_id"
 SQL["extract_parse"] = f"WITH p AS (SELECT document_id, field, {cleaned('value')} AS cv FROM {RAW} r) SELECT document_id, field, {PARSED} AS parsed FROM p"
 SQL["extract_table_rows"] = f"""WITH r AS (SELECT 'DOC-' || o_orderkey::VARCHAR AS document_id, o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT document_id, 'serial_number' AS field, k::VARCHAR AS value FROM r UNION ALL SELECT document_id, 'ownership_owner_name', 'P' || k::VARCHAR FROM r

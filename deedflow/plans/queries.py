@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import FIELD_NAMES
+from ..catalog import FIELD_NAMES, FIELDS, IDENTIFIERS
 from ..functions import text as T
 from ..operators import compose, confidence, dashboard, duplicates, extract, layout, normalize, quality, review, store, validate
 from . import adapters as A
@@ -25,12 +25,15 @@ def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, A.RAW_LONG)
+    """A row for each record and field.  Records are dealt by document_id before the fields multiply them, which later groupings
+    by document_id use as it is."""
+    records = rows(spark, sf_dir, A.RAW_WIDE).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
+    fields = ", ".join(f"named_struct('field', '{f[0]}', 'ordinal', {i}, 'section', '{f[1]}', 'normalizer', '{f[2]}', 'validator', '{f[3]}', 'value', {f[0]})" for i, f in enumerate(FIELDS))
+    return records.selectExpr("document_id", "seq", f"inline(array({fields}))").selectExpr("*", *[f"{e} AS {c}" for c, e in A.PROVENANCE.items()])
 
 
-def normalized(spark: SparkSession, sf_dir: str, compose: bool = False) -> DataFrame:
-    # The adapters' values are composed already; the queries named norm_unicode and norm_fields compose.
-    return normalize.normalize_fields(raw(spark, sf_dir), compose)
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize_fields(raw(spark, sf_dir))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,15 +54,15 @@ def _one(field: str, rule: Callable) -> Callable:
 
 QUERIES |= {
     "norm_digits": _one("survey_number", T.ascii_digits),
-    "norm_whitespace": _one("tehsil", lambda c: T.plain_space(c, False)),
+    "norm_whitespace": _one("tehsil", T.plain_space),
     "norm_unicode": _one("owner_name", T.plain_unicode),
-    "norm_null": _one("owner_name", lambda c: normalize.null_token(c, False)),
-    "norm_text": _one("address", lambda c: normalize.text_value(c, False)),
-    "norm_name": _one("father_name", lambda c: normalize.name_value(c, False)),
-    "norm_location": _one("tehsil", lambda c: normalize.text_value(c, False)),
-    "norm_identifier": _one("survey_number", lambda c: normalize.identifier_value(c, False)),
-    "norm_date": _one("mutation_date", lambda c: normalize.date_value(c, False)),
-    "norm_share": _one("ownership_share", lambda c: normalize.share_value(c, False)),
+    "norm_null": _one("owner_name", normalize.null_token),
+    "norm_text": _one("address", normalize.text_value),
+    "norm_name": _one("father_name", normalize.name_value),
+    "norm_location": _one("tehsil", normalize.text_value),
+    "norm_identifier": _one("survey_number", normalize.identifier_value),
+    "norm_date": _one("mutation_date", normalize.date_value),
+    "norm_share": _one("ownership_share", normalize.share_value),
     "clean_value": _one("mutation_type", T.clean_value),
     "match_form": _one("land_classification", T.match_form),
     "folded_text": _one("tehsil", T.folded),
@@ -69,13 +72,13 @@ QUERIES |= {
 @query
 def norm_area(spark, sf_dir):
     wide = rows(spark, sf_dir, A.RAW_WIDE)
-    a = normalize.area_value(F.col("plot_area"), False)
-    return wide.select("document_id", a["text"].alias("out"), a["value"].alias("value"), a["unit"].alias("unit"))
+    a = F.col("a")
+    return T.bind(wide.withColumn("t", T.ascii_digits(normalize.null_token(F.col("plot_area")))), a=normalize.as_area(F.col("t"))).select("document_id", a["text"].alias("out"), a["value"].alias("value"), a["unit"].alias("unit"))
 
 
 @query
 def norm_fields(spark, sf_dir):
-    return normalized(spark, sf_dir, compose=True).select("document_id", "field", "raw_value", "normalized_value", "area_unit", "normalization_status")
+    return normalized(spark, sf_dir).select("document_id", "field", "raw_value", "normalized_value", "area_unit", "normalization_status")
 
 
 @query
@@ -85,7 +88,7 @@ def norm_summary(spark, sf_dir):
 
 @query
 def valid_fields(spark, sf_dir):
-    codes = F.array_join(F.transform("validation_issues", lambda x: x["code"]), ",")
+    codes = F.array_join(F.col("validation_issues")["code"], ",")
     return validated(spark, sf_dir).select("document_id", "field", "normalized_value", "validation_status", codes.alias("codes"))
 
 
@@ -146,9 +149,7 @@ def conf_record(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    from ..catalog import IDENTIFIERS
-
-    fields = normalize.normalize_fields(raw(spark, sf_dir).filter(F.col("field").isin(IDENTIFIERS)), False)
+    fields = normalize.normalize_fields(raw(spark, sf_dir).filter(F.col("field").isin(IDENTIFIERS)))
     ids = duplicates.usable_identifiers(validate.validate_fields(fields))
     records = rows(spark, sf_dir, A.RAW_WIDE).select("document_id", "seq")
     return ids, duplicates.masks(ids, records)
@@ -168,7 +169,7 @@ def dup_pairs(spark, sf_dir):
 @query
 def dup_best_match(spark, sf_dir):
     ids, of = _ids(spark, sf_dir)
-    return duplicates.assess(duplicates.matched_pairs(ids, of), of)
+    return duplicates.assess(ids, of)
 
 
 @query
@@ -475,7 +476,7 @@ def extract_table_rows(spark, sf_dir):
 @query
 def extract_parse(spark, sf_dir):
     r = raw(spark, sf_dir)
-    return r.select("document_id", "field", extract.parse(F.col("field"), F.col("value")).alias("parsed"))
+    return T.bind(r, clean=T.clean_value(F.col("value"))).select("document_id", "field", extract.parse(F.col("field"), F.col("clean")).alias("parsed"))
 
 
 @query
@@ -508,5 +509,5 @@ def flagship(spark, sf_dir):
     """Normalise, validate and score every record: mean confidence and level by district."""
     fields = scored(spark, sf_dir)
     district = F.max(F.when(F.col("field") == "district", F.col("normalized_value"))).alias("district")
-    records = confidence.score_records(fields).join(fields.groupBy("document_id").agg(district), "document_id")
+    records = confidence.score_records(fields, district)
     return records.groupBy("district", "record_level").agg(F.count("*").alias("records"), F.round(F.sum(F.round(F.col("record_confidence") * 100).cast("long")) / (100.0 * F.count("*")) + 1e-9, 4).alias("mean_confidence"))

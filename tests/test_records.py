@@ -81,7 +81,7 @@ def compare(spark, *records):
 )
 def test_duplicate_pairs(spark, a, b, status):
     ids, of = compare(spark, a, b)
-    assert {r.document_id: r.status for r in duplicates.assess(duplicates.matched_pairs(ids, of), of).collect()}["D0"] == status
+    assert {r.document_id: r.status for r in duplicates.assess(ids, of).collect()}["D0"] == status
 
 
 def test_duplicates_as_all_pairs(spark):
@@ -90,7 +90,7 @@ def test_duplicates_as_all_pairs(spark):
     rnd = random.Random(3)
     records = [tuple(str(rnd.randrange(12)) if rnd.random() < 0.5 else None for _ in range(5)) for _ in range(60)]
     ids, of = compare(spark, *records)
-    got = {r.document_id: (r.status, r.best_match) for r in duplicates.assess(duplicates.matched_pairs(ids, of), of).collect()}
+    got = {r.document_id: (r.status, r.best_match) for r in duplicates.assess(ids, of).collect()}
     rank = {"strong_duplicate": 4, "possible_duplicate": 3, "insufficient_evidence": 2, "not_duplicate": 1}
     best = {}
     for p in duplicates.all_pairs(ids, of).collect():
