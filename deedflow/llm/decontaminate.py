@@ -4,8 +4,10 @@ A seed is the hash of the words at the cared-for places of a fixed mask; the pla
 are joined with those of the benchmark, and each hit's diagonal (word of the text less word of the item) is verified word by
 word: a stretch of the aligned words, scored +1 for an equal pair and -2 for a different one, must hold enough of the item.
 
-The benchmark's seeds are broadcast only after their number was counted against ``BROADCAST_SEEDS``; beyond it, Spark
-shuffles both sides on the seed.  Positions without a hit never leave the generated stage in the first case.
+The benchmark's seeds are broadcast only after their number was counted against ``BROADCAST_SEEDS``: their rows hold numbers
+alone, so the number bounds the bytes.  Positions without a hit then never leave the generated stage.  Beyond the bound, both
+sides are shuffled as (seed, row, place) without words, and the words of documents with hits are fetched once for each row.
+The items' words, which verification needs, are broadcast only if their counted bytes are at most ``BROADCAST_BYTES``.
 
 Items with fewer words than the shortest mask have one seed each, over all their words, and must be found exactly.
 
@@ -17,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .native import word_array
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("11101011", "110100111", "1100101101")
 SHORTEST = min(map(len, MASKS))
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 500_000
+BROADCAST_BYTES = 32 << 20
 #: A stretch counts if it holds this share of the item's words, or this many.
 LEAST_SHARE, LEAST_WORDS = 0.6, 20
 
@@ -93,17 +97,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = seeded(items, "item_words", "j", masks)
     for n in lengths:
         item_seeds = item_seeds.unionByName(seeded(items.filter(size == n), "item_words", "j", short_masks([n])))
-    item_seeds = item_seeds.select("seed", "j", "item_id", "item_ids", "item_words")
-    if item_seeds.count() <= BROADCAST_SEEDS:
-        item_seeds = F.broadcast(item_seeds)
-    places = seeded(docs.select("doc_id", "rid", word_array(F.col("text")).alias("words")), "words", "i", masks | short_masks(lengths))
+    item_seeds = item_seeds.select("seed", "j", "item_id", size.alias("n"))
+    n_bytes = items.agg(F.sum(F.octet_length(F.concat_ws(" ", "item_words")) + 8 * size)).first()[0] or 0
+    items = F.broadcast(items) if n_bytes <= BROADCAST_BYTES else items
+    few = item_seeds.count() <= BROADCAST_SEEDS
+    if not few:
+        docs = materialize(docs)  # read twice: rid must be the same
+    every = masks | short_masks(lengths)
     diag = F.col("i") - F.col("j")
-    hits = (
-        places.join(item_seeds, "seed")
-        .select("rid", "doc_id", "item_id", "item_ids", "item_words", diag.alias("diag"), F.slice("words", F.greatest(diag, F.lit(0)) + 1, F.size("item_words") + F.least(diag, F.lit(0))).alias("span"))
-        .groupBy("rid", "doc_id", "item_id", "diag")
-        .agg(F.first("item_ids").alias("item_ids"), F.first("item_words").alias("item_words"), F.first("span").alias("span"))
-    )
+    span = F.slice("words", F.greatest(F.col("diag"), F.lit(0)) + 1, F.col("n") + F.least(F.col("diag"), F.lit(0)))
+    with_words = docs.select("doc_id", "rid", word_array(F.col("text")).alias("words"))
+    place = ["rid", "doc_id", "item_id", "diag"]
+    if few:
+        met = seeded(with_words, "words", "i", every).join(F.broadcast(item_seeds), "seed").withColumn("diag", diag)
+        hits = met.select(*place, span.alias("span")).groupBy(*place).agg(F.first("span").alias("span"))
+    else:
+        places = seeded(with_words, "words", "i", every).select("seed", "rid", "i")
+        met = materialize(places.join(item_seeds, "seed").select("rid", "item_id", "n", diag.alias("diag")).distinct())
+        hits = with_words.join(met.select("rid").distinct(), "rid", "left_semi").join(met, "rid").select(*place, span.alias("span"))
+    hits = hits.join(items, "item_id")
     skipped = F.greatest(-F.col("diag"), F.lit(0))
     aligned = F.zip_with("span", F.slice("item_words", skipped + 1, F.greatest(F.size("span"), F.lit(0))), lambda a, b: F.when(a == b, 1).otherwise(0))
     found = (
