@@ -13,7 +13,7 @@ a null doc_id are predicted, but neither learned from nor held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ ROUNDS = 25
 #: Each further language costs this times half the logarithm of the number of independent grams.
 PENALTY = 4.0
 FOLDS = 5
+#: A document of the pipeline holds wanted languages to this share, with trigrams at most so much less likely (in nats) than usual.
+LEAST_SHARE, LEAST_FIT = 0.5, 3.0
+#: Short texts may fall short of that by so much more over the root of their number of trigrams.
+SHORT_SLACK = 8.0
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, mixture string"
 
@@ -69,6 +73,9 @@ class Model:
         self.langs = langs
         smooth = counts + SMOOTHING
         self.likelihood = (smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float64).copy()
+        #: Mean log-likelihood of a trigram of the language that fits its own text least.
+        own = (counts * np.log(smooth / smooth.sum(axis=1, keepdims=True))).sum(axis=1) / np.maximum(1, counts.sum(axis=1))
+        self.usual = float(own.min()) if len(own) else 0.0
 
     @staticmethod
     def em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -85,24 +92,29 @@ class Model:
 
     def infer(self, text: str | None) -> list[tuple[str, float]]:
         """The selected languages with their proportions, the largest first; empty if there is nothing to tell from."""
+        return self.infer_with_fit(text)[0]
+
+    def infer_with_fit(self, text: str | None) -> tuple[list[tuple[str, float]], float, int]:
+        """infer, the mean log-likelihood of the text's trigrams in the mixture, and their number."""
         cells = gram_cells(text)
         if not len(cells) or not self.langs:
-            return []
+            return [], 0.0, 0
         n = np.bincount(cells, minlength=CELLS)
         seen = np.flatnonzero(n)
         n, p = n[seen].astype(np.float64), self.likelihood[seen]
         share, _ = self.em(p, n)
         order = np.argsort(-share, kind="stable")
         cost = PENALTY / 2 * np.log(max(2.0, len(cells) / GRAM))
-        best, best_value = None, -np.inf
+        best, best_value, fit_of = None, -np.inf, 0.0
         for k in range(1, len(order) + 1):
             chosen = order[:k]
             own, value = self.em(p[:, chosen], n)
-            value -= cost * k
+            total, value = value, value - cost * k
             if value <= best_value:
                 break
+            fit_of = total / len(cells)
             best, best_value = [(self.langs[c], float(s)) for c, s in zip(chosen, own, strict=True)], value
-        return sorted(best, key=lambda x: (-x[1], x[0]))
+        return sorted(best, key=lambda x: (-x[1], x[0])), fit_of, len(cells)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -161,16 +173,34 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def drop_unknown(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't UNKNOWN, with all their columns; if nothing was learned, those with letters."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.likelihood))
+def keep_languages(docs: DataFrame, model: Model, wanted: Collection[str] | None = None, least_share: float = LEAST_SHARE, least_fit: float = LEAST_FIT) -> DataFrame:
+    """The documents in wanted languages (None: all learned ones), with all their columns.
+
+    A document stays if the wanted languages' proportions add up to least_share, and if its trigrams are likely in its
+    mixture: the mean log-likelihood may be at most least_fit (and SHORT_SLACK) below the least that the model saw in its own
+    languages, so text in a language never learned goes.  Texts without letters go; if nothing was learned, all with letters
+    stay.  Rows that repeat, and null ids, are judged like others."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.likelihood, model.usual))
+    chosen = None if wanted is None else frozenset(wanted)
+
+    def stays(own: Model, text: str | None) -> bool:
+        if not own.langs:
+            return len(gram_cells(text)) > 0
+        found, fit_of, n = own.infer_with_fit(text)
+        share = sum(s for lang, s in found if chosen is None or lang in chosen)
+        return bool(found) and share >= least_share and fit_of >= own.usual - least_fit - SHORT_SLACK / max(1, n) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
-        own.langs, own.likelihood = sent.value
+        own.langs, own.likelihood, own.usual = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield part.filter(pa.array([bool(own.infer(t)) if own.langs else len(gram_cells(t)) > 0 for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([stays(own, t) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def drop_unknown(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents in any learned language."""
+    return keep_languages(docs, model)
