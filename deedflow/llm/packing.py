@@ -27,6 +27,8 @@ from .common import materialize, worker_cache
 CAPACITY = 1024
 END_ID = 2
 BUCKETS = 256
+#: Exact combinations are sought for pieces longer than so many eighths of the capacity.
+EXACT_PARTS = (0, 2, 4, 6, 7)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The pre-tokenizer of byte-level BPE, and the characters for which both libraries agree on its classes.
@@ -122,9 +124,17 @@ def exact_fill(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), all pieces used; counts[n]: pieces of length n."""
+    """(lengths of a sequence, how many such sequences), all pieces used; counts[n]: pieces of length n.
+
+    Exact combinations for short pieces use up what best-fit could put into many gaps, so how far down they are sought is tried
+    at a few lengths; the plan with the fewest sequences is taken."""
+    return min((plan_down_to(counts, capacity, capacity * part // 8 + 1) for part in EXACT_PARTS), key=lambda p: sum(times for _, times in p))
+
+
+def plan_down_to(counts: np.ndarray, capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan whose exact combinations have a longest piece of at least this length."""
     left, out = counts.astype(np.int64).copy(), []
-    for a in range(capacity, 0, -1):
+    for a in range(capacity, least - 1, -1):
         while left[a]:
             left[a] -= 1
             rest = exact_fill(capacity - a, left) if a < capacity else ()
