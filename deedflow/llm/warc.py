@@ -35,6 +35,7 @@ MEMBER_BYTES = 8 << 20
 ARCHIVE_BYTES = 512 << 20
 #: Payloads of at least so many bytes are looked for among each other.
 LEAST_BYTES = 0
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 # The ZIP format's signatures and layouts.
@@ -213,9 +214,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     """Writes all pages and returns (path, n_records) of the archives; materialize it before reading."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     keepers = payload_keepers(pages, least_bytes)
+    # A payload may be that of a third of all pages: its pages are dealt to SALTS keys.
     marked = (
         pages.withColumn("digest", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes, F.sha1(F.coalesce("html", F.lit("")))))
-        .join(keepers, "digest", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        .join(keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["digest", "salt"], "left")
         .select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), None).otherwise(F.col("keeper")).alias("refers_to"))
     )
 
