@@ -6,6 +6,7 @@ numpy, over chunks of a few MB, so no Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import types
@@ -37,13 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared ``spark.checkpoint.dir``; a temporary folder is set only if that is unset."""
+    """A new folder name under the shared ``spark.checkpoint.dir``, gone when the driver ends.  A temporary folder is set only if
+    that is unset and all runs on one machine."""
     small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='deedflow-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/deedflow-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/deedflow-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended before
+        return
 
 
 def materialize(df: DataFrame) -> DataFrame:

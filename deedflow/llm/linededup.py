@@ -18,6 +18,7 @@ document keeps, and a line found under null ids alone stays.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -230,19 +231,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, ship_bytes: int = SHI
 
         return docs.mapInArrow(*_drop_by(docs.columns, types, doomed))
 
-    gone = materialize(routed(docs, lines, n_shards)).groupBy(F.col("doc_id").alias("gone_of")).agg(F.collect_set("high").alias("gone_keys"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_of"]), "left").drop("gone_of")
+    of, keys = (f"{name}_{uuid.uuid4().hex}" for name in ("of", "keys"))  # no column of the documents has these names
+    gone = materialize(routed(docs, lines, n_shards)).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("high", "low")).alias(keys))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[of]), "left").drop(of)
 
     def listed(part: pa.RecordBatch, rows: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        sets = [frozenset(x or ()) for x in part.column("gone_keys").to_pylist()]
-        return np.array([h in sets[r] for h, r in zip(as_i64(high).tolist(), rows.tolist(), strict=True)], bool)
+        sets = [frozenset((k["high"], k["low"]) for k in x or ()) for x in part.column(keys).to_pylist()]
+        return np.array([(h, w) in sets[r] for h, w, r in zip(as_i64(high).tolist(), as_i64(low).tolist(), rows.tolist(), strict=True)], bool)
 
     return joined.mapInArrow(*_drop_by(docs.columns, types, listed))
 
 
 def routed(docs: DataFrame, lines: DataFrame, n_shards: int) -> DataFrame:
-    """(doc_id, high) of what is dropped, where the shards are too large to ship: each document's keys pass their shard."""
+    """(doc_id, high, low) of what is dropped, where the shards are too large to ship: each document's keys pass their shard,
+    which is dealt to several tasks if there are more tasks than shards."""
     spark = docs.sparkSession
+    n = partitions(spark)
+    salts = max(1, n // n_shards)
     total = lines.agg(F.sum("n")).first()[0]
     hot_at = max(1, total // HOT_KEYS)
     hot = lines.filter(F.col("n") > hot_at)
@@ -265,7 +270,6 @@ def routed(docs: DataFrame, lines: DataFrame, n_shards: int) -> DataFrame:
     asked = materialize(docs.select("doc_id", "text").mapInArrow(probes, schema))
     null = lambda t: F.lit(None).cast(t)
     blobs = build_shards(lines, n_shards).select("shard", F.lit(-1).alias("state"), null("long").alias("doc_id"), null("long").alias("high"), null("long").alias("low"), "blob")
-    n = partitions(spark)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
@@ -283,11 +287,12 @@ def routed(docs: DataFrame, lines: DataFrame, n_shards: int) -> DataFrame:
                     doc = part.column("doc_id")
                     keeper = shard.keepers[np.maximum(at, 0)] if shard else at
                     gone = (at >= 0) & ((keeper != doc.fill_null(0).to_numpy()) | doc.is_null().to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([doc, part.column("high")], ["doc_id", "high"]).filter(pa.array(gone))
+                    yield pa.RecordBatch.from_arrays([doc, part.column("high"), part.column("low")], ["doc_id", "high", "low"]).filter(pa.array(gone))
 
     passed = (
-        asked.filter("state = 0").unionByName(blobs)
-        .repartition(n, "shard").sortWithinPartitions("shard", "state")
-        .mapInArrow(answer, "doc_id long, high long")
+        asked.filter("state = 0").withColumn("salt", F.pmod("low", F.lit(salts)))
+        .unionByName(blobs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")))
+        .repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "state").drop("salt")
+        .mapInArrow(answer, "doc_id long, high long, low long")
     )
-    return passed.unionByName(asked.filter("state = 1").select("doc_id", "high"))
+    return passed.unionByName(asked.filter("state = 1").select("doc_id", "high", "low"))
