@@ -291,7 +291,7 @@ def routed(docs: DataFrame, lines: DataFrame, n_shards: int) -> DataFrame:
 
     passed = (
         asked.filter("state = 0").withColumn("salt", F.pmod("low", F.lit(salts)))
-        .unionByName(blobs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")))
+        .unionByName(blobs.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))))
         .repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "state").drop("salt")
         .mapInArrow(answer, "doc_id long, high long, low long")
     )

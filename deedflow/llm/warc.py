@@ -218,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     marked = (
         pages.withColumn("digest", F.when(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes, F.sha1(F.coalesce("html", F.lit("")))))
         .withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        .join(keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["digest", "salt"], "left")
+        .join(keepers.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))), ["digest", "salt"], "left")
         .select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("keeper")), None).otherwise(F.col("keeper")).alias("refers_to"))
     )
 
