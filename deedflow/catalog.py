@@ -30,6 +30,8 @@ FIELD_NAMES = [f[0] for f in FIELDS]
 #: Identifiers that may prove a duplicate, in order of evidence; the last three are the land identifiers.
 IDENTIFIERS = ["registered_document_number", "mutation_entry_number", "survey_number", "khasra_number", "khata_number"]
 
+IDENTIFIER_LABELS = {"registered_document_number": "Registered document number", "mutation_entry_number": "Mutation entry number", "survey_number": "Survey number", "khasra_number": "Khasra number", "khata_number": "Khata number"}
+
 NULL_TOKENS = ["", "none", "null", "nil", "n/a", "na", "not available", "not applicable", "-", "--"]
 AREA_UNITS = {"acre": "acre", "acres": "acre", "hectare": "hectare", "hectares": "hectare", "ha": "hectare", "sqm": "square_meter", "sq m": "square_meter", "sq. m": "square_meter"}
 KNOWN_UNITS = ["acre", "hectare", "square_meter"]
@@ -99,3 +101,9 @@ WARNINGS = {"FIELD_MISSING", "NAME_TOO_SHORT", "NAME_SUSPICIOUS_CHARACTERS", "LO
 # Characters that texts are folded from and to.
 DEVANAGARI = "०१२३४५६७८९"
 QUOTES_FROM, QUOTES_TO = "’‘“”–—", "''\"\"--"
+
+# Keys that artifacts and their fields must have.
+ARTIFACT_KEYS = ["normalization_version", "source_extraction_version", "document_id", "summary", "fields"]
+FIELD_KEYS = ["field", "value", "status", "confidence", "section", "source_text", "source_line_ids", "source_page", "evidence_type", "matched_label", "raw_value", "normalized_value", "structured_value", "normalization_status"]
+# What tables and page ends look like in composed texts.
+TABLE_HEAD = "[TABLE - structure detected heuristically, unvalidated]"

@@ -79,6 +79,11 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("Z"))
 
 
+def parse_timestamp(c: Column) -> Column:
+    """ISO text, with Z or an offset, as a timestamp; null for null, empty text and what is no timestamp."""
+    return F.try_to_timestamp(F.nullif(F.trim(c), F.lit("")))
+
+
 def percent_text(c: Column) -> Column:
     return F.when(c.isNotNull(), F.format_string("%.2f%%", c))
 

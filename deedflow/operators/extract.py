@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import FIELDS
+from ..catalog import FIELDS, SECTIONS
 from ..functions.text import bind, clean_value, folded
 
 BETWEEN = r"[\s._:/|,\-]*"
@@ -126,5 +126,36 @@ def first_wins(found: DataFrame) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
+def named_section(text: Column) -> Column:
+    """The first section whose name the folded text contains; unlike in layout, punctuation counts."""
+    plain = folded(text)
+    return F.coalesce(*[F.when(plain.contains(s.lower()), s) for s in SECTIONS])
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """(document_id, page, line_no, text, header, section): lines that aren't blank of document_text, numbered from 0, with the
+    section named last; no page is known."""
+    rows = texts.select("document_id", F.posexplode(F.split("document_text", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")).alias("at", "text"))
+    rows = bind(rows, text=F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
+    order = Window.partitionBy("document_id").orderBy("at")
+    rows = bind(rows, header=named_section(F.col("text")))
+    return rows.select("document_id", F.lit(None).cast("int").alias("page"), (F.row_number().over(order) - 1).alias("line_no"), "text", "header", F.last("header", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("section"))
+
+
+def ocr_lines(lines: DataFrame) -> DataFrame:
+    """Recognised lines (document_id, page, line_no, text) in the same shape, for extraction as the last resort."""
+    rows = bind(lines, text=F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")).filter("text <> ''")
+    order = Window.partitionBy("document_id").orderBy("page", "line_no")
+    rows = bind(rows, header=named_section(F.col("text")))
+    return rows.withColumn("section", F.last("header", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def object_text(value: Column) -> Column:
+    """The text of a JSON value: a string itself, an object's text, value or content, else its JSON."""
+    inner = F.coalesce(*[F.get_json_object(value, f"$.{k}") for k in ("text", "value", "content")])
+    quoted = F.get_json_object(F.concat(F.lit('{"a":'), value, F.lit("}")), "$.a")
+    return F.trim(F.when(value.isNull() | (value == "null"), "").when(value.startswith("{"), F.coalesce(inner, value)).otherwise(F.coalesce(quoted, value)))
+
+
 def extraction_summary(fields: DataFrame) -> DataFrame:
     return fields.groupBy("document_id").agg(F.count("*").alias("total_fields"), F.count("value").alias("extracted"), (F.count("*") - F.count("value")).alias("missing"))

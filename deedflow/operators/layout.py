@@ -127,10 +127,20 @@ def section_of(text: Column) -> Column:
     return F.coalesce(*[F.when(plain.contains(s), s) for s in SECTIONS])
 
 
-def fill_sections(lines: DataFrame, across_pages: bool = True) -> DataFrame:
-    """Adds header (the section a line names) and section (the last named up to the line)."""
+def summary(lines: DataFrame, blocks: DataFrame, sections: DataFrame, rels: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row per document: how many pages, lines, blocks, sections, relationships and tables it has."""
+    pages = lines.groupBy("document_id").agg(F.count_distinct("page").alias("page_count"), F.count("*").alias("line_count"))
+    parts = [("block_count", blocks), ("section_count", sections), ("relationship_count", rels), ("table_count", tables)]
+    for name, rows in parts:
+        pages = pages.join(rows.groupBy("document_id").agg(F.count("*").alias(name)), "document_id", "left").fillna(0, [name])
+    return pages
+
+
+def fill_sections(lines: DataFrame, across_pages: bool = True, names: Column | None = None) -> DataFrame:
+    """Adds header (the section a line names) and section (the last named up to the line); names: lines that may be headers."""
     order = Window.partitionBy("document_id").orderBy("page", "line_no") if across_pages else Window.partitionBy(*PAGE).orderBy("line_no")
-    return lines.withColumn("header", section_of(F.col("text"))).withColumn("section", F.last("header", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    header = section_of(F.col("text")) if names is None else F.when(names, section_of(F.col("text")))
+    return bind(lines, header=header).withColumn("section", F.last("header", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def number_sections(lines: DataFrame) -> DataFrame:

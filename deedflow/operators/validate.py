@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import FIELDS, GENERAL, ISO_DATE, KNOWN_UNITS, LAND, MESSAGES, NUMBER, SHARE, WARNINGS
+from ..catalog import ARTIFACT_KEYS, FIELD_KEYS, FIELDS, GENERAL, ISO_DATE, KNOWN_UNITS, LAND, MESSAGES, NUMBER, SHARE, WARNINGS
 from ..functions.text import alphanumerics, bind, blank, has_letter
 
 ISSUE = "struct<code:string,severity:string,message:string,field:string,scope:string>"
@@ -116,17 +116,28 @@ def missing_fields(fields: DataFrame) -> DataFrame:
 
 
 def structure_issues(artifacts: DataFrame) -> DataFrame:
-    """Faults of JSON artifacts (document_id, artifact): missing keys, fields that are absent or not objects, wrong names."""
-    top = ["document_id", "fields"]
-    parsed = artifacts.withColumn("m", F.from_json("artifact", "map<string,string>"))
-    lacks = F.filter(F.array(*[F.when(~F.map_contains_key("m", F.lit(k)), F.lit(k)) for k in top]), lambda x: x.isNotNull())
+    """Faults of JSON artifacts (document_id, artifact) as (document_id, code, field): missing keys, fields that are absent or
+    not objects, lack metadata, have another name or line ids that aren't a list."""
+    json, none = F.col("artifact"), F.lit(None).cast("string")
+    top = bind(artifacts.select("document_id", "artifact"), m=F.from_json(json, "map<string,string>"))
+    top = bind(top, fields=F.from_json(F.col("m")["fields"], "map<string,string>"))
     row = lambda code, field: F.struct(F.lit(code).alias("code"), field.alias("field"))
-    names = F.array(*[F.lit(f[0]) for f in FIELDS])
-    fields = F.from_json(F.col("m")["fields"], "map<string,string>")
-    absent = F.transform(F.array_except(names, F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))), lambda f: row("STRUCTURE_FIELD_ABSENT", f))
-    broken = F.transform(F.filter(F.map_entries(fields), lambda e: ~F.coalesce(e["value"].startswith("{"), F.lit(False))), lambda e: row("STRUCTURE_INVALID_FIELD_OBJECT", e["key"]))
-    renamed = F.transform(F.filter(F.map_entries(fields), lambda e: e["value"].startswith("{") & ~F.get_json_object(e["value"], "$.field").eqNullSafe(e["key"])), lambda e: row("STRUCTURE_FIELD_NAME_MISMATCH", e["key"]))
-    found = F.when(F.col("m").isNull(), F.array(row("STRUCTURE_INVALID_FIELDS", F.lit(None).cast("string")))).otherwise(
-        F.concat(F.transform(lacks, lambda k: row("STRUCTURE_MISSING_TOP_LEVEL_KEY", k)), absent, F.coalesce(broken, F.array().cast("array<struct<code:string,field:string>>")), F.coalesce(renamed, F.array().cast("array<struct<code:string,field:string>>")))
+    keys = F.array(*[F.when(~F.coalesce(F.map_contains_key("m", F.lit(k)), F.lit(False)), row("STRUCTURE_MISSING_TOP_LEVEL_KEY", none)) for k in ARTIFACT_KEYS])
+    whole = F.array(F.when(F.col("fields").isNull(), row("STRUCTURE_INVALID_FIELDS", none)))
+    absent = F.array(*[F.when(~F.map_contains_key("fields", F.lit(f[0])), row("STRUCTURE_FIELD_ABSENT", F.lit(f[0]))) for f in FIELDS])
+    found = top.select("document_id", F.explode(F.concat(keys, whole, F.coalesce(absent, F.array().cast("array<struct<code:string,field:string>>")))).alias("x")).filter("x IS NOT NULL")
+    own = bind(top.select("document_id", F.explode("fields").alias("name", "value")), of=F.from_json("value", "map<string,string>"))
+    is_object = F.coalesce(F.col("value").startswith("{"), F.lit(False))
+    lacks = [F.when(is_object & ~F.coalesce(F.map_contains_key("of", F.lit(k)), F.lit(False)), row("STRUCTURE_MISSING_FIELD_METADATA", F.col("name"))) for k in FIELD_KEYS]
+    ids = F.col("of")["source_line_ids"]
+    faults = F.array(
+        F.when(~is_object, row("STRUCTURE_INVALID_FIELD_OBJECT", F.col("name"))), *lacks, F.when(is_object & (F.col("of")["field"] != F.col("name")), row("STRUCTURE_FIELD_NAME_MISMATCH", F.col("name"))),
+        F.when(is_object & ids.isNotNull() & ~ids.startswith("["), row("STRUCTURE_INVALID_SOURCE_LINE_IDS", F.col("name"))),
     )
-    return parsed.select("document_id", F.explode(found).alias("x")).select("document_id", "x.code", "x.field")
+    return found.unionByName(own.select("document_id", F.explode(faults).alias("x")).filter("x IS NOT NULL")).select("document_id", "x.code", "x.field")
+
+
+def structure_summary(artifacts: DataFrame) -> DataFrame:
+    """One row per artifact: how many structural errors it has, and whether it is structurally valid."""
+    counts = structure_issues(artifacts).groupBy("document_id").agg(F.count("*").alias("structural_errors"))
+    return artifacts.select("document_id").join(counts, "document_id", "left").fillna(0, ["structural_errors"]).withColumn("structurally_valid", F.col("structural_errors") == 0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..catalog import DEVANAGARI, FIELDS
+from ..catalog import DEVANAGARI, FIELD_KEYS, FIELDS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -123,6 +123,25 @@ SELECT 'DOC-' || lpad(cast(event_id % 1500 as string), 8, '0') AS document_id, e
 FROM {{events}} JOIN {CATALOG} ON c.ordinal = event_id % 21
 """
 
+#: Artifacts with faults of each kind, by number.
+_WHOLE = ", ".join(f"\"{k}\":null" for k in FIELD_KEYS if k not in ("field", "source_line_ids"))
+_FIELDS = " || ',' || ".join(
+    f"'\"{f[0]}\":' || CASE WHEN o_orderkey % 23 = {i} THEN '7' ELSE '{{\"field\":\"' || CASE WHEN o_orderkey % 29 = {i} THEN 'other' ELSE '{f[0]}' END || '\",' || CASE WHEN o_orderkey % 31 = {i} THEN '\"source_line_ids\":\"x\"' WHEN o_orderkey % 37 = {i} THEN '\"x\":1' ELSE '\"source_line_ids\":[1,2]' END || ',{_WHOLE}}}' END"
+    for i, f in enumerate(FIELDS[:-1])
+)
+ARTIFACTS = f"""
+SELECT 'DOC-' || cast(o_orderkey as string) AS document_id, '{{"normalization_version":"1",' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '"document_id":"x",' END || '"source_extraction_version":"1","summary":{{}},"fields":'
+  || CASE WHEN o_orderkey % 11 = 0 THEN '5' ELSE '{{' || {_FIELDS} || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',"{FIELDS[-1][0]}":{{"field":"{FIELDS[-1][0]}","source_line_ids":[],{_WHOLE}}}' END || '}}' END || '}}' AS artifact
+FROM {{orders}}
+"""
+#: Values of several JSON kinds, and times as text.
+OBJECTS = """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '"  plain "' WHEN 2 THEN '{"text":" t' || cast(event_id as string) || ' "}' WHEN 3 THEN '{"value":5,"content":"c"}' WHEN 4 THEN '{"other":1}' WHEN 5 THEN cast(event_id as string) ELSE 'null' END AS object FROM {events}
+"""
+SAID_TIMES = """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' 2024-03-0' || cast(1 + event_id % 9 as string) || 'T10:20:30Z ' WHEN 3 THEN '2024-03-01T10:20:3' || cast(event_id % 10 as string) || '+05:30' ELSE '2024-02-29 01:02:03' END AS said FROM {events}
+"""
+
 #: A vector as an image of one row: what can be measured of it.
 PIXELS = {
     "spark": "SELECT vec_id, posexplode(embedding) AS (pos, v), size(embedding) AS n FROM {embeddings}",
@@ -141,9 +160,20 @@ def spark_rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **used, **dealt)
 
 
+def braced(text: str) -> str:
+    """Text with braces of its own besides those of tables."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for t in TABLES:
+        text = text.replace("{{" + t + "}}", "{" + t + "}")
+    return text
+
+
+ARTIFACTS, OBJECTS = braced(ARTIFACTS), braced(OBJECTS)
+
+
 def duck(text: str) -> str:
     for name, source in SOURCES.items():
         text = text.replace("{" + name + "}", f"({source})")
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
-    return f"({text})"
+    return "(" + text.replace("{{", "{").replace("}}", "}") + ")"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..catalog import AREA_UNITS, DEVANAGARI, DUPLICATE_RANK, EVIDENCE_SCORES, FIELDS, IDENTIFIERS, KNOWN_UNITS, LAYOUT_LABELS, MESSAGES, NULL_TOKENS, SECTIONS
+from ..catalog import AREA_UNITS, ARTIFACT_KEYS, DEVANAGARI, DUPLICATE_RANK, EVIDENCE_SCORES, FIELD_KEYS, FIELDS, IDENTIFIERS, KNOWN_UNITS, LAYOUT_LABELS, MESSAGES, NULL_TOKENS, SECTIONS
 from . import adapters as A
 
 RAW, WIDE, REG, DEC, WORDS, LINES = (A.duck(x) for x in (A.RAW_LONG, A.RAW_WIDE, A.REGISTRY, A.DECISIONS, A.WORDS_DUCK, A.LINES))
@@ -90,14 +90,18 @@ SQL["valid_status_counts"] = f"WITH {VALIDATED} SELECT document_id, {counts}, su
 SQL["valid_apply_cross"] = f"""WITH {VALIDATED}, late AS ({CROSS}) SELECT field, CASE WHEN field = 'registration_date' AND status = 'valid' AND late.document_id IS NOT NULL THEN 'warning' ELSE status END AS validation_status, count(*) AS n
 FROM validated LEFT JOIN late ON late.document_id = validated.document_id GROUP BY ALL"""
 SQL["valid_missing_fields"] = f"SELECT document_id, field FROM {RAW} r WHERE value IS NULL"
-SQL["valid_structure"] = f"""
-WITH o AS (SELECT o_orderkey AS k FROM orders), names AS (SELECT unnest([{quoted(f[0] for f in FIELDS)}]) AS f),
-issues AS (
-  SELECT 'STRUCTURE_MISSING_TOP_LEVEL_KEY' AS code, 'document_id' AS field FROM o WHERE k % 7 = 0
-  UNION ALL SELECT 'STRUCTURE_FIELD_ABSENT', f FROM o, names WHERE f <> CASE WHEN k % 5 = 0 THEN 'village' ELSE 'district' END
-  UNION ALL SELECT 'STRUCTURE_INVALID_FIELD_OBJECT', 'village' FROM o WHERE k % 5 = 0
-  UNION ALL SELECT 'STRUCTURE_FIELD_NAME_MISMATCH', 'district' FROM o WHERE k % 5 <> 0 AND k % 3 <> 0)
-SELECT code, field, count(*) AS n FROM issues GROUP BY ALL"""
+FAULTS = f"""a AS (SELECT document_id, artifact::JSON AS j FROM {A.duck(A.ARTIFACTS)} a), f AS (SELECT document_id, unnest(json_keys(j->'fields')) AS name, j FROM a WHERE json_type(j->'fields') = 'OBJECT'),
+v AS (SELECT document_id, name, j->'fields'->name AS o FROM f), names AS (SELECT unnest([{quoted(f[0] for f in FIELDS)}]) AS name), top AS (SELECT unnest([{quoted(ARTIFACT_KEYS)}]) AS k), own AS (SELECT unnest([{quoted(FIELD_KEYS)}]) AS k),
+faults AS (
+  SELECT document_id, 'STRUCTURE_MISSING_TOP_LEVEL_KEY' AS code, NULL AS field FROM a, top WHERE NOT list_contains(json_keys(j), k)
+  UNION ALL SELECT document_id, 'STRUCTURE_INVALID_FIELDS', NULL FROM a WHERE json_type(j->'fields') <> 'OBJECT'
+  UNION ALL SELECT document_id, 'STRUCTURE_FIELD_ABSENT', name FROM a, names WHERE json_type(j->'fields') = 'OBJECT' AND NOT list_contains(json_keys(j->'fields'), name)
+  UNION ALL SELECT document_id, 'STRUCTURE_INVALID_FIELD_OBJECT', name FROM v WHERE json_type(o) <> 'OBJECT'
+  UNION ALL SELECT document_id, 'STRUCTURE_MISSING_FIELD_METADATA', name FROM v, own WHERE json_type(o) = 'OBJECT' AND NOT list_contains(json_keys(o), k)
+  UNION ALL SELECT document_id, 'STRUCTURE_FIELD_NAME_MISMATCH', name FROM v WHERE json_type(o) = 'OBJECT' AND o->>'field' <> name
+  UNION ALL SELECT document_id, 'STRUCTURE_INVALID_SOURCE_LINE_IDS', name FROM v WHERE json_type(o) = 'OBJECT' AND json_type(o->'source_line_ids') NOT IN ('ARRAY', 'NULL'))"""
+SQL["valid_structure"] = f"WITH {FAULTS} SELECT code, field, count(*) AS n FROM faults GROUP BY ALL"
+SQL["valid_structure_summary"] = f"WITH {FAULTS}, n AS (SELECT document_id, count(*) AS c FROM faults GROUP BY ALL) SELECT a.document_id, coalesce(c, 0) AS structural_errors, coalesce(c, 0) = 0 AS structurally_valid FROM a LEFT JOIN n ON n.document_id = a.document_id"
 
 SCORED = f"""{VALIDATED},
 s1 AS (SELECT *, CASE WHEN evidence_type IS NULL THEN 0.0 ELSE {lookup('evidence_type', EVIDENCE_SCORES, 40.0)} END::DOUBLE AS e,
@@ -139,6 +143,11 @@ assessed AS (SELECT document_id, status, other_id AS best_match, n_matched, n_co
 VD = VALIDATED + "," + DUPLICATES
 SQL["dup_identifiers"] = f"WITH {VD} SELECT * FROM ids"
 SQL["dup_pairs"] = f"WITH {VD} SELECT document_id, other_id, matched, status, n_matched, n_conflicting, n_missing FROM pairs"
+NAMES = lambda bits: "concat_ws(',', " + ", ".join(f"CASE WHEN ({bits}) & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(IDENTIFIERS)) + ")"
+SQL["dup_evidence"] = f"""WITH {VD}, p AS (SELECT p.*, a.mask & b.mask AS common FROM pairs p JOIN docs a ON a.document_id = p.document_id JOIN docs b ON b.document_id = p.other_id)
+SELECT document_id, other_id, status, {NAMES('matched')} AS matched_identifiers, {NAMES('common & ~matched')} AS conflicting_identifiers, {NAMES('31 & ~common')} AS missing_identifiers,
+  CASE WHEN matched & 1 <> 0 THEN 'Registered document number matched an existing record.' WHEN matched & 2 <> 0 THEN 'Mutation entry number matched an existing record.' WHEN matched & 28 = 28 THEN 'Survey number, Khasra number, and Khata number all matched an existing record.'
+  ELSE concat_ws(', ', CASE WHEN matched & 4 <> 0 THEN 'Survey number' END, CASE WHEN matched & 8 <> 0 THEN 'Khasra number' END, CASE WHEN matched & 16 <> 0 THEN 'Khata number' END) || ' matched, but land identifiers alone do not provide sufficient evidence for duplicate classification.' END AS match_reason FROM p"""
 SQL["dup_best_match"] = f"WITH {VD} SELECT *, (SELECT count(*) - 1 FROM docs) AS n_compared FROM assessed"
 SQL["dup_summary"] = f"WITH {VD} SELECT status, count(*) AS records, (count(*) * (SELECT count(*) - 1 FROM docs))::BIGINT AS compared FROM assessed GROUP BY status"
 SQL["conf_duplicate_risk"] = f"""WITH {SCORED}, {DUPLICATES}, {RECORDS} SELECT r.document_id, record_confidence, {LEVEL.format('record_confidence')} AS record_level, a.status AS duplicate_status,
@@ -286,6 +295,38 @@ sources AS (SELECT document_id, page, line_no, field, value, 'layout_relationshi
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field ORDER BY prio, page, line_no, value) AS nth FROM sources) WHERE nth = 1)"""
 SQL["extract_first_wins"] = f"WITH {FIRST} SELECT document_id, field, value, evidence_type, line_no FROM firsts"
 SQL["extract_complete"] = f"WITH {FIRST} SELECT document_id, {len(FIELDS)}::BIGINT AS total_fields, count(value) AS extracted, {len(FIELDS)} - count(value) AS missing FROM firsts GROUP BY document_id"
+CELLS = f"cells AS (SELECT document_id, page, line_no, unnest(range(1, len(p) + 1)) AS column_no, unnest(p) AS text FROM (SELECT *, string_split(text, ' | ') AS p FROM {LINES} l WHERE line_no IN (11, 12)))"
+TABLES = f"{CELLS}, table_rows AS (SELECT document_id, page, line_no, string_agg(text, ' | ' ORDER BY column_no) AS text FROM cells GROUP BY ALL), whole AS (SELECT document_id, page, '[TABLE - structure detected heuristically, unvalidated]' || chr(10) || string_agg(text, chr(10) ORDER BY line_no) AS text, min(line_no) AS first_line FROM table_rows GROUP BY document_id, page)"
+SQL["compose_tables"] = f"WITH {TABLES} SELECT document_id, line_no, w.text FROM table_rows r JOIN whole w USING (document_id, page)"
+COMPOSED = f"""{RELATIONS}, {TABLES},
+taken AS (SELECT DISTINCT document_id, page, target_line AS line_no FROM rels WHERE target_line IS NOT NULL),
+said AS (SELECT document_id, page, line_no, list(rtrim(label || ': ' || coalesce(value, '')) ORDER BY hit_no) AS texts FROM rels GROUP BY ALL),
+kinds AS (SELECT l.document_id, l.page, l.line_no, {SECTION.replace('(text)', '(l.text)')} AS header, CASE WHEN t.line_no = w.first_line THEN ['table'] WHEN t.line_no IS NOT NULL THEN [] WHEN {SECTION.replace('(text)', '(l.text)')} IS NOT NULL THEN ['header'] WHEN s.texts IS NOT NULL THEN list_transform(s.texts, lambda x: 'field') WHEN k.line_no IS NOT NULL THEN [] ELSE ['raw'] END AS kind,
+    CASE WHEN t.line_no = w.first_line THEN [w.text] WHEN t.line_no IS NOT NULL THEN [] WHEN {SECTION.replace('(text)', '(l.text)')} IS NOT NULL THEN ['[' || {SECTION.replace('(text)', '(l.text)')} || ']'] WHEN s.texts IS NOT NULL THEN s.texts WHEN k.line_no IS NOT NULL THEN [] ELSE [l.text] END AS said
+  FROM l LEFT JOIN table_rows t ON t.document_id = l.document_id AND t.page = l.page AND t.line_no = l.line_no LEFT JOIN whole w ON w.document_id = l.document_id AND w.page = l.page
+  LEFT JOIN said s ON s.document_id = l.document_id AND s.page = l.page AND s.line_no = l.line_no LEFT JOIN taken k ON k.document_id = l.document_id AND k.page = l.page AND k.line_no = l.line_no),
+pieces AS (SELECT document_id, page, line_no, unnest(kind) AS kind, unnest(said) AS text, unnest(range(1, len(said) + 1)) AS part FROM kinds),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no, part) AS nth FROM pieces),
+sheets AS (SELECT document_id, page, string_agg(CASE WHEN kind IN ('table', 'header') AND nth > 1 THEN chr(10) ELSE '' END || text, chr(10) ORDER BY nth) AS text FROM numbered GROUP BY document_id, page),
+texts AS (SELECT document_id, string_agg(text, chr(10) || chr(10) || repeat('=', 20) || ' PAGE BREAK ' || repeat('=', 20) || chr(10) || chr(10) ORDER BY page) AS document_text FROM sheets GROUP BY document_id)"""
+SQL["compose_text"] = f"WITH {COMPOSED} SELECT document_id, document_text FROM texts"
+SQL["layout_summary"] = f"""WITH {RELATIONS}, a AS (SELECT document_id, count(DISTINCT page) AS page_count, count(*) AS line_count, count({SECTION}) AS section_count FROM l GROUP BY ALL),
+g AS (SELECT document_id, page, greatest(80.0, 3 * median(height) FILTER (WHERE height > 0)) AS lim FROM l GROUP BY ALL),
+b AS (SELECT document_id, count(*) FILTER (WHERE gap IS NULL OR gap > lim) AS block_count FROM (SELECT l.document_id, lim, y - lag(y + height) OVER (PARTITION BY l.document_id, l.page ORDER BY y, line_no) AS gap FROM l JOIN g ON g.document_id = l.document_id AND g.page = l.page) GROUP BY document_id),
+r AS (SELECT document_id, count(*) AS relationship_count FROM rels GROUP BY document_id)
+SELECT a.document_id, page_count, line_count, block_count, section_count, coalesce(relationship_count, 0) AS relationship_count, 1::BIGINT AS table_count FROM a JOIN b ON b.document_id = a.document_id LEFT JOIN r ON r.document_id = a.document_id"""
+FOLDED_TEXT = collapse("lower(translate(text, '’‘–—', '''''--'))")
+NAMED = "CASE " + " ".join(f"WHEN contains({FOLDED_TEXT}, '{s.lower()}') THEN '{s}'" for s in SECTIONS) + " END"
+TEXT_LINES = f"""{COMPOSED}, cut AS (SELECT document_id, unnest(string_split(document_text, chr(10))) AS text, unnest(range(0, len(string_split(document_text, chr(10))))) AS i FROM texts),
+kept_lines AS (SELECT document_id, NULL::INT AS page, (row_number() OVER (PARTITION BY document_id ORDER BY i) - 1)::INT AS line_no, trim(text) AS text, {NAMED} AS header FROM cut WHERE trim(text) <> ''),
+filled AS MATERIALIZED (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM kept_lines)"""
+SQL["extract_text_lines"] = f"WITH {TEXT_LINES} SELECT document_id, line_no, text, header, section FROM filled"
+BEHIND = LABELLED[LABELLED.index("rest AS (") : LABELLED.index("nxt AS (")] + LABELLED[LABELLED.index("inline_values AS (") : LABELLED.index(",\nbelow_values AS (")]
+SQL["extract_text_fallback"] = f"WITH {TEXT_LINES}, {BEHIND} SELECT document_id, line_no, field, value, 'composer_fallback' AS evidence_type FROM inline_values"
+OCR_LINES = f"filled AS MATERIALIZED (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT * REPLACE (trim(text) AS text), {NAMED} AS header FROM {LINES} l WHERE trim(text) <> ''))"
+SQL["extract_ocr_fallback"] = f"WITH {OCR_LINES}, {BEHIND} SELECT document_id, line_no, field, value, 'ocr_fallback' AS evidence_type FROM inline_values"
+SQL["extract_object_text"] = f"SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'plain' WHEN 2 THEN trim(object->>'text') WHEN 3 THEN object->>'value' WHEN 4 THEN object WHEN 5 THEN object ELSE '' END AS text FROM {A.duck(A.OBJECTS)} o"
+SQL["parse_timestamps"] = f"SELECT event_id, strftime(try_cast(nullif(trim(said), '') AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at FROM {A.duck(A.SAID_TIMES)} s"
 SQL["extract_parse"] = f"WITH p AS (SELECT document_id, field, {cleaned('value')} AS cv FROM {RAW} r) SELECT document_id, field, {PARSED} AS parsed FROM p"
 SQL["extract_table_rows"] = f"""WITH r AS (SELECT 'DOC-' || o_orderkey::VARCHAR AS document_id, o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT document_id, 'serial_number' AS field, k::VARCHAR AS value FROM r UNION ALL SELECT document_id, 'ownership_owner_name', 'P' || k::VARCHAR FROM r

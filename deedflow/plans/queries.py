@@ -119,13 +119,18 @@ def valid_missing_fields(spark, sf_dir):
     return validate.missing_fields(raw(spark, sf_dir).filter(F.col("value").isNotNull()))
 
 
+def _artifacts(spark, sf_dir):
+    return rows(spark, sf_dir, A.ARTIFACTS)
+
+
 @query
 def valid_structure(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("DOC-"), F.col("o_orderkey")).alias("document_id"), F.col("o_orderkey").alias("k"))
-    name = F.when(F.col("k") % 3 == 0, "district").otherwise("village")
-    fields = F.when(F.col("k") % 5 == 0, '{"village":7}').otherwise(F.concat(F.lit('{"district":{"field":"'), name, F.lit('"}}')))
-    text = F.when(F.col("k") % 7 == 0, F.concat(F.lit('{"fields":'), fields, F.lit("}"))).otherwise(F.concat(F.lit('{"document_id":"x","fields":'), fields, F.lit("}")))
-    return validate.structure_issues(orders.select("document_id", text.alias("artifact"))).groupBy("code", "field").agg(F.count("*").alias("n"))
+    return validate.structure_issues(_artifacts(spark, sf_dir)).groupBy("code", "field").agg(F.count("*").alias("n"))
+
+
+@query
+def valid_structure_summary(spark, sf_dir):
+    return validate.structure_summary(_artifacts(spark, sf_dir))
 
 
 @query
@@ -166,6 +171,12 @@ def dup_pairs(spark, sf_dir):
     return duplicates.matched_pairs(ids, of).select("document_id", "other_id", "matched", "status", "n_matched", "n_conflicting", "n_missing")
 
 
+@query
+def dup_evidence(spark, sf_dir):
+    ids, of = _ids(spark, sf_dir)
+    return duplicates.with_evidence(duplicates.matched_pairs(ids, of)).select("document_id", "other_id", "status", "matched_identifiers", "conflicting_identifiers", "missing_identifiers", "match_reason")
+
+
 @query
 def dup_best_match(spark, sf_dir):
     ids, of = _ids(spark, sf_dir)
@@ -428,12 +439,58 @@ def relationships(spark, sf_dir):
     return layout.relationships(_lines(spark, sf_dir)).select("document_id", "line_no", F.col("no").alias("hit_no"), "label", "value", "relation", "target_line")
 
 
+def _cells(spark, sf_dir):
+    """Two lines of each form as a table, a cell for each part between bars."""
+    parts = _lines(spark, sf_dir).filter("line_no IN (11, 12)").select(*layout.PAGE, "line_no", F.posexplode(F.split("text", r" \| ")).alias("at", "text"))
+    return parts.select(*layout.PAGE, F.lit(1).alias("table_no"), "line_no", (F.col("at") + 1).alias("column_no"), "text")
+
+
+def _composed(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return compose.document_texts(compose.page_texts(compose.text_blocks(lines, layout.relationships(lines), compose.render_tables(_cells(spark, sf_dir)))))
+
+
 @query
 def compose_text(spark, sf_dir):
+    return _composed(spark, sf_dir)
+
+
+@query
+def compose_tables(spark, sf_dir):
+    return compose.render_tables(_cells(spark, sf_dir)).select("document_id", "line_no", "text")
+
+
+@query
+def layout_summary(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    table = lines.filter("line_no IN (11, 12)").select(*layout.PAGE, "line_no", F.lit(1).alias("table_no"), F.lit("[TABLE]\na | b").alias("text"))
-    blocks = compose.text_blocks(lines, layout.relationships(lines), table)
-    return compose.document_texts(compose.page_texts(blocks))
+    tables = _cells(spark, sf_dir).select("document_id", "page", "table_no").distinct()
+    return layout.summary(lines, layout.blocks_of(lines), layout.number_sections(lines), layout.relationships(lines), tables)
+
+
+@query
+def extract_text_lines(spark, sf_dir):
+    return extract.text_lines(_composed(spark, sf_dir)).select("document_id", "line_no", "text", "header", "section")
+
+
+@query
+def extract_text_fallback(spark, sf_dir):
+    return extract.from_lines(extract.text_lines(_composed(spark, sf_dir)), "composer_fallback").select("document_id", "line_no", "field", "value", "evidence_type")
+
+
+@query
+def extract_ocr_fallback(spark, sf_dir):
+    return extract.from_lines(extract.ocr_lines(_lines(spark, sf_dir)), "ocr_fallback").select("document_id", "line_no", "field", "value", "evidence_type")
+
+
+@query
+def extract_object_text(spark, sf_dir):
+    return rows(spark, sf_dir, A.OBJECTS).select("event_id", extract.object_text(F.col("object")).alias("text"))
+
+
+@query
+def parse_timestamps(spark, sf_dir):
+    parsed = dashboard.parse_timestamp(F.col("said"))
+    return rows(spark, sf_dir, A.SAID_TIMES).select("event_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def _sectioned(spark, sf_dir):
