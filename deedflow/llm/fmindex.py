@@ -2,6 +2,7 @@
 
 Words are numbered by the index's own vocabulary.  The Burrows-Wheeler transform is kept as a wavelet matrix (a bit vector a
 level, with counts before each 64 bits); suffix positions are sampled, and others are found by walking back to a sample.
+The words themselves are not kept beside it: all comparison is backward search.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 
 from .common import U64
 
-SAMPLED = 4
+SAMPLED = 8
 
 
 class Bits:
@@ -94,7 +95,7 @@ class FMIndex:
         symbols = np.ones(int((lengths + 1).sum()) + 1, np.int64)
         symbols[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = numbers + 2
         symbols[-1] = 0
-        self.text = symbols.astype(np.uint32)
+        self.size = len(symbols)
         order = suffix_array(symbols)
         self.count = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=len(self.vocabulary) + 2))]).astype(np.uint32)
         self.matrix = WaveletMatrix(symbols[order - 1], len(self.vocabulary) + 2)
@@ -102,7 +103,7 @@ class FMIndex:
         self.marks, self.samples = Bits(sampled), order[sampled].astype(np.uint32)
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.vocabulary, self.docs, self.firsts, self.text, self.count, [(s, b.words, b.before, z) for s, b, z in self.matrix.levels], self.matrix.begin, (self.marks.words, self.marks.before), self.samples))
+        return pickle.dumps((self.vocabulary, self.docs, self.firsts, self.size, self.count, [(s, b.words, b.before, z) for s, b, z in self.matrix.levels], self.matrix.begin, (self.marks.words, self.marks.before), self.samples))
 
     @classmethod
     def load(cls, blob: bytes) -> FMIndex:
@@ -112,7 +113,7 @@ class FMIndex:
             return out
 
         self = cls.__new__(cls)
-        self.vocabulary, self.docs, self.firsts, self.text, self.count, levels, begin, marks, self.samples = pickle.loads(blob)
+        self.vocabulary, self.docs, self.firsts, self.size, self.count, levels, begin, marks, self.samples = pickle.loads(blob)
         self.matrix = WaveletMatrix.__new__(WaveletMatrix)
         self.matrix.levels, self.matrix.begin = [(s, bits(w, b), z) for s, w, b, z in levels], begin
         self.marks = bits(*marks)
@@ -123,36 +124,84 @@ class FMIndex:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 2, -1)
 
-    def search(self, hashes: np.ndarray, starts: np.ndarray, length: int, few: int, least: int) -> tuple[np.ndarray, ...]:
-        """Backward search of the patterns hashes[s : s + length]: which may occur, their ranges of suffixes and how many of
-        their last words are matched.  A search ends early once few suffixes are left after the least number of words."""
+    def step(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of suffixes that begin with the symbol (known ones only) and go on with a suffix of the range."""
+        new_low, new_high = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        single = high - low == 1
+        one, many = np.flatnonzero(single), np.flatnonzero(~single)
+        if len(one):  # the word before a single suffix is the symbol, or there is nothing
+            before, rank = self.matrix.access(low[one])
+            same = before == symbol[one]
+            at = one[same]
+            new_low[at] = self.count[before[same]].astype(np.int64) + rank[same]
+            new_high[at] = new_low[at] + 1
+        if len(many):
+            s, n = symbol[many], len(many)
+            ranks = self.matrix.rank(np.concatenate([s, s]), np.concatenate([low[many], high[many]]))
+            before = self.count[s].astype(np.int64)
+            new_low[many], new_high[many] = before + ranks[:n], before + ranks[n:]
+        return new_low, new_high
+
+    def search(self, hashes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of the patterns hashes[s : s + length]: those that occur, and their ranges of suffixes."""
         live = np.arange(len(starts))
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
-        found: list[tuple[np.ndarray, ...]] = []
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64)
         for back in range(length - 1, -1, -1):
             symbol = self.numbers(hashes[starts[live] + back])
             known = symbol >= 0
             live, low, high, symbol = live[known], low[known], high[known], symbol[known]
             if back < length - 1:
-                n = len(low)
-                ranks = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-                before = self.count[symbol].astype(np.int64)
-                low, high = before + ranks[:n], before + ranks[n:]
+                low, high = self.step(low, high, symbol)
             else:
                 low, high = self.count[symbol].astype(np.int64), self.count[symbol + 1].astype(np.int64)
             some = low < high
-            ends = some & ((high - low <= few) & (length - back >= least) | (back == 0))
-            if ends.any():
-                found.append((live[ends], low[ends], high[ends], np.full(int(ends.sum()), length - back)))
-            some &= ~ends
             live, low, high = live[some], low[some], high[some]
             if not len(live):
                 break
+        return live, low, high
+
+    def matches(self, hashes: np.ndarray, begin: np.ndarray, last: np.ndarray, window: int, probe: int) -> tuple[np.ndarray, ...]:
+        """Matching statistics of runs of windows, as far as they reach a window's length.
+
+        Run i holds the windows (of so many words) that start at begin[i] to last[i].  From a run's end, words are put before the
+        pattern while it occurs: that gives the longest match that ends there, so it is known of all windows in it that they
+        occur, and of the next one that it doesn't go on from them.  That one's first words are probed by themselves; if they
+        don't occur, neither does any window with all of them.  Returns each match's run, start, end (exclusive) and a suffix
+        that begins with it; every window of the runs that occurs lies in a match of its run.
+        """
+        covered = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(covered, begin, 1)
+        np.add.at(covered, last + window, -1)
+        covered = np.flatnonzero(np.cumsum(covered)[:-1])
+        symbols = np.full(len(hashes), -1, np.int64)
+        symbols[covered] = self.numbers(hashes[covered])
+        run, floor, end = np.arange(len(begin)), begin.copy(), last + window
+        at, low, high = end.copy(), np.zeros(len(run), np.int64), np.full(len(run), self.size, np.int64)
+        probing = np.zeros(len(run), bool)
+        found: list[tuple[np.ndarray, ...]] = []
+        while len(run):
+            symbol = symbols[at - 1]
+            new_low, new_high = self.step(low, high, np.maximum(symbol, 0))
+            some = (new_low < new_high) & (symbol >= 0)
+            at = at - some
+            low, high = np.where(some, new_low, low), np.where(some, new_high, high)
+            ends = np.flatnonzero(~some | (at == np.where(probing, end - probe, floor)))
+            if not len(ends):
+                continue
+            stop, here, probed, went = end[ends], at[ends], probing[ends], some[ends]
+            long = ~probed & (stop - here >= window)
+            if long.any():
+                found.append((run[ends[long]], here[long], stop[long], low[ends[long]]))
+            following = np.where(long, here - 1, np.where(probed & went, stop - probe, stop - 1 - window))  # the next window to decide
+            probing[ends] = long
+            end[ends] = at[ends] = following + np.where(long, probe, window)
+            low[ends], high[ends] = 0, self.size
+            over = ends[following < floor[ends]]
+            if len(over):
+                run, floor, end, at, low, high, probing = (np.delete(x, over) for x in (run, floor, end, at, low, high, probing))
         if not found:
             return (np.zeros(0, np.int64),) * 4
-        live, low, high, matched = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(live)
-        return live[order], low[order], high[order], matched[order]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes."""
@@ -169,11 +218,5 @@ class FMIndex:
                 walked[live] += 1
         return out
 
-    def words_at(self, position: np.ndarray) -> np.ndarray:
-        """Hashes of the words at text positions; 0, which no word has, at divisions and outside."""
-        inside = (position >= 0) & (position < len(self.text))
-        symbol = self.text[np.where(inside, position, 0)].astype(np.int64)
-        return np.where(inside & (symbol >= 2), self.vocabulary[np.maximum(symbol - 2, 0)], U64(0))
-
     def doc_at(self, position: np.ndarray) -> np.ndarray:
         return self.docs[np.searchsorted(self.firsts, position, "right") - 1]

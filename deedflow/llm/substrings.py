@@ -9,11 +9,11 @@ smaller doc_id.
    same way and give each repeated window's owner, the smallest doc_id with it.  However many documents hold a passage,
    its owner alone brings it into the library.
 2. Shards of the library become compressed FM-indexes, a task each.
-3. Documents stream past the indexes.  Every match of a window covers one whole block of BLOCK words that starts at a
-   multiple of BLOCK; blocks within windows that pass the filter are searched backwards over the wavelet matrix, all of a
-   batch at once, until they are known not to occur or few places are left.  There the match is extended to both sides: the
-   matching statistics around the block.  Stretches of a window's length or more
-   whose owner has a smaller id are reported and removed.
+3. Documents stream past the indexes.  A window covers a whole block of BLOCK words that starts at a multiple of BLOCK; blocks
+   of windows that pass the filter are searched backwards over the wavelet matrix, all of a batch at once.  Over the windows
+   whose block occurs, backward search gives matching statistics: the longest matches, of which those of a window's length
+   or more are intervals.  A window occurs in one document of the library, its owner, so any place of an interval names it;
+   intervals whose owner has a smaller id are reported and removed.
 
 The filter and the hashes only choose what is indexed; matches are found in the index.  Tasks read the indexes from the shared folder in rounds
 of at most ``SHIP_BYTES``; one round removes the words where the document is, more rounds write their stretches, which then
@@ -42,9 +42,8 @@ from .fmindex import FMIndex
 WINDOW = 50
 ANCHOR = 20
 BLOCK = 25
-#: A block's search ends when so few places are left after so many words; they are compared directly.
-FEW_PLACES, LEAST_MATCHED = 4, 4
-PLACES_AT_ONCE = 20_000
+#: So many first words of a window are searched before all of them, where a match has ended; runs of windows are cut to so many.
+PROBE, RUN = 8, 100
 SHARD_WORDS = 1 << 21
 SHIP_BYTES = 160 << 20
 #: The filter has so many bits a key, up to a bound; a full filter lets more windows through and changes no result.
@@ -226,74 +225,34 @@ def opened(paths: list[str]) -> list[FMIndex]:
     return [kept[path] for path in paths]
 
 
-def candidate_blocks(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, kept: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and start of the blocks that lie in a window whose anchor passes the filter."""
+def candidates(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, kept: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows whose anchor passes the filter, their rows, and the first whole block in each."""
     w = Windows(hashes, first)
-    some = w.starts[in_bloom(*kept, w.least)]
-    inside = np.zeros(len(hashes) + 1, np.int64)  # windows that begin before each word
-    inside[some + 1] = 1
-    inside = np.cumsum(inside)
-    counts = np.diff(first)
-    blocks = np.where((counts >= WINDOW) & known, counts // BLOCK, 0)
-    row = np.repeat(np.arange(len(counts)), blocks)
-    starts = first[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    within = inside[starts + 1] > inside[np.maximum(starts - (WINDOW - BLOCK), first[row])]
-    return row[within], starts[within]
-
-
-def covered(index: FMIndex, hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    starts = w.starts[in_bloom(*kept, w.least)]
+    row = np.searchsorted(first, starts, "right") - 1
+    starts, row = starts[known[row]], row[known[row]]
+    return starts, row, starts + (first[row] - starts) % BLOCK
+
+
+def covered(index: FMIndex, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches [start, end) of words to remove: matches of a window's length with documents of smaller id."""
-    live, low, high, matched = index.search(hashes, starts, BLOCK, FEW_PLACES, LEAST_MATCHED)
-    if not len(live):
-        return
-    # a block may occur in many passages: places are taken by some rows at a time
-    rows, places = row[live], np.cumsum(high - low)
-    start = 0
-    while start < len(live):
-        taken = places[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(places, taken + PLACES_AT_ONCE, "right")))
-        end = int(np.searchsorted(rows, rows[end - 1], "right"))
-        part = slice(start, end)
-        yield from _stretches(index, hashes, first, ids, row, starts, live[part], low[part], high[part], matched[part])
-        start = end
-
-
-def _stretches(index: FMIndex, hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, row: np.ndarray, starts: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray, matched: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of some rows' blocks (live), whose last matched words occur at the suffixes from low to high."""
-    n = high - low
-    hit, length = np.repeat(live, n), np.repeat(matched, n)
-    suffix = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = index.locate(suffix)
-    smaller = index.doc_at(place) < ids[row[hit]]
-    hit, place, length = hit[smaller], place[smaller], length[smaller]
-    # whole blocks, by row and diagonal (place in the index less place here)
-    q, p = starts[hit], place - (BLOCK - length)
-    whole = (index.words_at(p[:, None] + np.arange(BLOCK)) == hashes[q[:, None] + np.arange(BLOCK)]).all(axis=1)
-    q, p, r = q[whole], p[whole], row[hit[whole]]
-    order = np.lexsort((q, p - q, r))
-    q, p, r = q[order], p[order], r[order]
-    if not len(q):
+    fresh = np.ones(len(block), bool)
+    fresh[1:] = block[1:] != block[:-1]
+    occurs = np.zeros(int(fresh.sum()), bool)
+    occurs[index.search(hashes, block[fresh], BLOCK)[0]] = True
+    inside = occurs[np.cumsum(fresh) - 1]
+    starts, row = starts[inside], row[inside]
+    if not len(starts):
         return
-    # neighbouring blocks on a diagonal are one stretch; it goes on for less than a block at either end
-    fresh = np.ones(len(q), bool)
-    fresh[1:] = (r[1:] != r[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (q[1:] - q[:-1] != BLOCK)
-    begin = np.flatnonzero(fresh)
-    last = np.append(begin[1:], len(q)) - 1
-    row_start, row_end = first[r[begin]], first[r[begin] + 1]
-    left = _common(index, hashes, q[begin] - 1, p[begin] - 1, -1, row_start, row_end)
-    right = _common(index, hashes, q[last] + BLOCK, p[last] + BLOCK, 1, row_start, row_end)
-    start, end = q[begin] - left, q[last] + BLOCK + right
-    enough = end - start >= WINDOW
-    yield from zip(start[enough].tolist(), end[enough].tolist(), strict=True)
-
-
-def _common(index: FMIndex, hashes: np.ndarray, here: np.ndarray, there: np.ndarray, way: int, row_start: np.ndarray, row_end: np.ndarray) -> np.ndarray:
-    """How many words go on alike from each place on (way 1) or back (way -1), within the row, up to a block."""
-    steps = way * np.arange(BLOCK)
-    at = here[:, None] + steps
-    inside = (at >= row_start[:, None]) & (at < row_end[:, None])
-    same = inside & (hashes[np.where(inside, at, 0)] == index.words_at(there[:, None] + steps))
-    return np.where(same.all(axis=1), BLOCK, np.argmin(same, axis=1))
+    # windows behind each other are a run, cut where it gets long
+    cut = np.ones(len(starts), bool)
+    cut[1:] = starts[1:] - starts[:-1] != 1
+    of_run = np.arange(len(starts)) - np.maximum.accumulate(np.where(cut, np.arange(len(starts)), 0))
+    begin = np.flatnonzero(of_run % RUN == 0)
+    last = np.append(begin[1:], len(starts)) - 1
+    run, start, end, suffix = index.matches(hashes, starts[begin], starts[last], WINDOW, PROBE)
+    smaller = index.doc_at(index.locate(suffix)) < ids[row[begin[run]]]
+    yield from zip(start[smaller].tolist(), end[smaller].tolist(), strict=True)
 
 
 def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -303,8 +262,8 @@ def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batch: pa.Rec
     ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
     for at, hashes, first in _chunks(batch.column(1)):
         rows = slice(at, at + len(first) - 1)
-        row, starts = candidate_blocks(hashes, first, known[rows], kept)
-        yield at, first, [x for index in indexes for x in covered(index, hashes, first, ids[rows], row, starts)]
+        some = candidates(hashes, first, known[rows], kept)
+        yield at, first, [x for index in indexes for x in covered(index, hashes, ids[rows], *some)]
 
 
 def text_hash(texts: pa.Array, i: int) -> int:

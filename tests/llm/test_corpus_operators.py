@@ -223,9 +223,10 @@ def test_fm_index(rnd):
     text = [np.array([rnd.randrange(9) for _ in range(rnd.randrange(60, 90))], np.uint64) * np.uint64(1 << 40) for _ in range(6)]
     index = fmindex.FMIndex.load(fmindex.FMIndex(text, [3, 1, 4, 1, 5, 9]).dump())
     flat = np.concatenate(text + [np.array([77], np.uint64)])
+    held = [x for p in text for x in [*p.tolist(), None]]
     for length in (1, 2, 4):
         starts = np.arange(len(flat) - length + 1)
-        live, low, high, matched = index.search(flat, starts, length, 0, length)
+        live, low, high = index.search(flat, starts, length)
         counts = dict(zip(live.tolist(), (high - low).tolist(), strict=True))
         for s in starts.tolist():
             pattern = flat[s : s + length].tolist()
@@ -233,10 +234,28 @@ def test_fm_index(rnd):
             assert counts.get(s, 0) == want
         for s, a, b in zip(live[:40].tolist(), low[:40].tolist(), high[:40].tolist(), strict=True):
             for place in index.locate(np.arange(a, b)).tolist():
-                assert [int(index.vocabulary[x - 2]) for x in index.text[place : place + length]] == flat[s : s + length].tolist()
+                assert held[place : place + length] == flat[s : s + length].tolist()
     assert index.doc_at(np.array([0, len(text[0]) + 1])).tolist() == [3, 1]
 
 
+def test_matching_statistics(rnd):
+    text = [np.array([rnd.randrange(5) for _ in range(rnd.randrange(20, 60))], np.uint64) for _ in range(8)]
+    index = fmindex.FMIndex.load(fmindex.FMIndex(text, list(range(8))).dump())
+    pieces = [p[rnd.randrange(10) : len(p) - rnd.randrange(10)] for p in rnd.choices(text, k=30)]
+    query = np.concatenate([np.concatenate([p, np.array([rnd.randrange(7) for _ in range(rnd.randrange(4))], np.uint64)]) for p in pieces])
+    for window, probe, width in ((6, 2, 40), (10, 3, 7), (12, 8, 1000), (3, 3, 1)):
+        held = {tuple(p[j : j + window].tolist()) for p in text for j in range(len(p) - window + 1)}
+        begin = np.arange(0, len(query) - window + 1, width)
+        last = np.minimum(begin + width - 1, len(query) - window)
+        run, start, end, suffix = index.matches(query, begin, last, window, probe)
+        flat = [x for p in text for x in [*p.tolist(), None]]
+        got = set()
+        for r, s, e, place in zip(run.tolist(), start.tolist(), end.tolist(), index.locate(suffix).tolist(), strict=True):
+            assert begin[r] <= s and e <= last[r] + window and flat[place : place + e - s] == query[s:e].tolist()
+            got |= set(range(s, e - window + 1))
+        assert got == {s for s in range(len(query) - window + 1) if tuple(query[s : s + window].tolist()) in held}
+
+
 def test_pipeline_stages(spark, sf, make):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
