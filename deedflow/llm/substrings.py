@@ -43,7 +43,9 @@ WINDOW = 50
 ANCHOR = 20
 BLOCK = 25
 #: So many first words of a window are searched before all of them, where a match has ended; runs of windows are cut to so many.
-PROBE, RUN = 8, 100
+PROBE, RUN = 8, 25
+#: Chunks of so many words together are searched at once: a step costs little more for more windows.
+POOL_WORDS = 2 << 20
 SHARD_WORDS = 1 << 21
 SHIP_BYTES = 160 << 20
 #: The filter has so many bits a key, up to a bound; a full filter lets more windows through and changes no result.
@@ -234,16 +236,17 @@ def candidates(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, kept: t
     return starts, row, starts + (first[row] - starts) % BLOCK
 
 
-def covered(index: FMIndex, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, row: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches [start, end) of words to remove: matches of a window's length with documents of smaller id."""
+def covered(index: FMIndex, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of words to remove: matches of a window's length with documents of smaller id than the
+    window's own (ids)."""
     fresh = np.ones(len(block), bool)
     fresh[1:] = block[1:] != block[:-1]
     occurs = np.zeros(int(fresh.sum()), bool)
     occurs[index.search(hashes, block[fresh], BLOCK)[0]] = True
     inside = occurs[np.cumsum(fresh) - 1]
-    starts, row = starts[inside], row[inside]
+    starts, ids = starts[inside], ids[inside]
     if not len(starts):
-        return
+        return starts, starts
     # windows behind each other are a run, cut where it gets long
     cut = np.ones(len(starts), bool)
     cut[1:] = starts[1:] - starts[:-1] != 1
@@ -251,19 +254,40 @@ def covered(index: FMIndex, hashes: np.ndarray, ids: np.ndarray, starts: np.ndar
     begin = np.flatnonzero(of_run % RUN == 0)
     last = np.append(begin[1:], len(starts)) - 1
     run, start, end, suffix = index.matches(hashes, starts[begin], starts[last], WINDOW, PROBE)
-    smaller = index.doc_at(index.locate(suffix)) < ids[row[begin[run]]]
-    yield from zip(start[smaller].tolist(), end[smaller].tolist(), strict=True)
-
-
-def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """For each chunk of a batch (doc_id, text, ...): first row, each row's first word, stretches of all indexes."""
-    ids = batch.column(0)
-    known = ~ids.is_null().to_numpy(zero_copy_only=False)
-    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    for at, hashes, first in _chunks(batch.column(1)):
-        rows = slice(at, at + len(first) - 1)
-        some = candidates(hashes, first, known[rows], kept)
-        yield at, first, [x for index in indexes for x in covered(index, hashes, ids[rows], *some)]
+    smaller = index.doc_at(index.locate(suffix)) < ids[begin[run]]
+    return start[smaller], end[smaller]
+
+
+def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """For each chunk of the batches (doc_id, text, ...): batch, first row, each row's first word, stretches of all indexes
+    (start, end)."""
+    pool: list[tuple] = []
+    for batch in batches:
+        ids = batch.column(0)
+        known = ~ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for at, hashes, first in _chunks(batch.column(1)):
+            rows = slice(at, at + len(first) - 1)
+            starts, row, block = candidates(hashes, first, known[rows], kept)
+            pool.append((batch, at, first, hashes, starts, ids[rows][row], block))
+            if sum(len(x[3]) for x in pool) >= POOL_WORDS:
+                yield from _searched(indexes, pool)
+                pool = []
+    yield from _searched(indexes, pool)
+
+
+def _searched(indexes: list[FMIndex], pool: list[tuple]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    if not pool:
+        return
+    base = np.concatenate([[0], np.cumsum([len(x[3]) for x in pool])])
+    hashes, ids = (np.concatenate([x[i] for x in pool]) for i in (3, 5))
+    starts, block = (np.concatenate([x[i] + b for x, b in zip(pool, base, strict=False)]) for i in (4, 6))
+    found = [covered(index, hashes, starts, ids, block) for index in indexes]
+    found = np.concatenate([np.stack(x, axis=1) for x in found] or [np.zeros((0, 2), np.int64)])
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    cuts = np.searchsorted(found[:, 0], base)
+    for i, (batch, at, first, *_) in enumerate(pool):
+        yield batch, at, first, found[cuts[i] : cuts[i + 1]] - base[i]
 
 
 def text_hash(texts: pa.Array, i: int) -> int:
@@ -287,11 +311,10 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
         rounds[-1].append(r["path"])
         room -= r["size"]
 
-    def kept(part: pa.RecordBatch, at: int, first: np.ndarray, stretches: list[tuple[int, int]]) -> pa.RecordBatch:
+    def kept(part: pa.RecordBatch, at: int, first: np.ndarray, stretches: np.ndarray) -> pa.RecordBatch:
         gone = np.zeros(int(first[-1]) + 1, np.int64)
-        for s, e in stretches:
-            gone[s] += 1
-            gone[e] -= 1
+        np.add.at(gone, stretches[:, 0], 1)
+        np.add.at(gone, stretches[:, 1], -1)
         gone = np.cumsum(gone)[:-1] > 0
         removed = np.concatenate([[0], np.cumsum(gone)])[first]
         texts = []
@@ -306,9 +329,8 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
     if len(rounds) == 1:
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = opened(rounds[0])
-            for batch in batches:
-                for at, first, stretches in _matches(indexes, anchors.value, batch):
-                    yield kept(batch, at, first, stretches)
+            for batch, at, first, stretches in _matches(indexes, anchors.value, batches):
+                yield kept(batch, at, first, stretches)
 
         return docs.mapInArrow(at_once, schema)
 
@@ -316,13 +338,11 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
     for some in rounds:
         def one_round(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
             indexes = opened(some)
-            for batch in batches:
-                for at, first, stretches in _matches(indexes, anchors.value, batch):
-                    where = np.array(stretches, np.int64).reshape(-1, 2)
-                    row = np.searchsorted(first, where[:, 0], "right") - 1
-                    of = {r: text_hash(batch.column(1), r + at) for r in set(row.tolist())}
-                    cols = [pa.array(where[:, 0] - first[row]), pa.array(where[:, 1] - first[row]), pa.array([of[r] for r in row.tolist()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), *cols], ["doc_id", "start", "end", "of"])
+            for batch, at, first, where in _matches(indexes, anchors.value, batches):
+                row = np.searchsorted(first, where[:, 0], "right") - 1
+                of = {r: text_hash(batch.column(1), r + at) for r in set(row.tolist())}
+                cols = [pa.array(where[:, 0] - first[row]), pa.array(where[:, 1] - first[row]), pa.array([of[r] for r in row.tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), *cols], ["doc_id", "start", "end", "of"])
 
         part = materialize(docs.mapInArrow(one_round, "doc_id long, start long, end long, of long"))
         found = part if found is None else found.unionByName(part)
@@ -335,6 +355,6 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
                 # rows that repeat a doc_id share its list: a stretch belongs to texts of its hash
                 own = [text_hash(batch.column(1), at + i) if lists[at + i] else None for i in range(len(first) - 1)]
                 stretches = [(int(first[i]) + x["start"], int(first[i]) + x["end"]) for i in range(len(own)) for x in lists[at + i] or () if x["of"] == own[i]]
-                yield kept(batch, at, first, stretches)
+                yield kept(batch, at, first, np.array(stretches, np.int64).reshape(-1, 2))
 
     return docs.join(lists, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(listed, schema)
