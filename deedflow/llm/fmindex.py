@@ -165,8 +165,8 @@ class FMIndex:
 
         Run i holds the windows (of so many words) that start at begin[i] to last[i].  From a run's end, words are put before the
         pattern while it occurs: that gives the longest match that ends there, so it is known of all windows in it that they
-        occur, and of the next one that it doesn't go on from them.  That one's first words are probed by themselves; if they
-        don't occur, neither does any window with all of them.  Returns each match's run, start, end (exclusive) and a suffix
+        occur.  The word that it does not go on with and those behind it, so many, are then probed by themselves; if they don't
+        occur, neither does any window with all of them.  Returns each match's run, start, end (exclusive) and a suffix
         that begins with it; every window of the runs that occurs lies in a match of its run.
         """
         covered = np.zeros(len(hashes) + 1, np.int64)
@@ -177,7 +177,7 @@ class FMIndex:
         symbols[covered] = self.numbers(hashes[covered])
         run, floor, end = np.arange(len(begin)), begin.copy(), last + window
         at, low, high = end.copy(), np.zeros(len(run), np.int64), np.full(len(run), self.size, np.int64)
-        probing = np.zeros(len(run), bool)
+        probing, undecided = np.zeros(len(run), bool), np.zeros(len(run), np.int64)
         found: list[tuple[np.ndarray, ...]] = []
         while len(run):
             symbol = symbols[at - 1]
@@ -192,13 +192,15 @@ class FMIndex:
             long = ~probed & (stop - here >= window)
             if long.any():
                 found.append((run[ends[long]], here[long], stop[long], low[ends[long]]))
-            following = np.where(long, here - 1, np.where(probed & went, stop - probe, stop - 1 - window))  # the next window to decide
-            probing[ends] = long
-            end[ends] = at[ends] = following + np.where(long, probe, window)
+            # the next window to decide: all that start behind it are decided
+            following = np.where(long, here - 1, np.where(probed & went, undecided[ends], stop - 1 - window))
+            again = ~probed & (stop - here > probe)
+            undecided[ends], probing[ends] = following, again
+            end[ends] = at[ends] = np.where(again, here - 1 + probe, following + window)
             low[ends], high[ends] = 0, self.size
             over = ends[following < floor[ends]]
             if len(over):
-                run, floor, end, at, low, high, probing = (np.delete(x, over) for x in (run, floor, end, at, low, high, probing))
+                run, floor, end, at, low, high, probing, undecided = (np.delete(x, over) for x in (run, floor, end, at, low, high, probing, undecided))
         if not found:
             return (np.zeros(0, np.int64),) * 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -43,9 +43,9 @@ WINDOW = 50
 ANCHOR = 20
 BLOCK = 25
 #: So many first words of a window are searched before all of them, where a match has ended; runs of windows are cut to so many.
-PROBE, RUN = 8, 25
+PROBE, RUN = 8, 8
 #: Chunks of so many words together are searched at once: a step costs little more for more windows.
-POOL_WORDS = 2 << 20
+POOL_WORDS = 4 << 20
 SHARD_WORDS = 1 << 21
 SHIP_BYTES = 160 << 20
 #: The filter has so many bits a key, up to a bound; a full filter lets more windows through and changes no result.
