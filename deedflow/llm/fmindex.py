@@ -14,6 +14,8 @@ import numpy as np
 from .common import U64
 
 SAMPLED = 8
+#: Bits for each gram that an index holds.
+GRAM_ROOM = 8
 
 
 class Bits:
@@ -88,7 +90,13 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Passages (each a sequence of 64-bit word hashes of one document) behind each other, divided by symbol 1; 0 ends them."""
 
-    def __init__(self, passages: list[np.ndarray], docs: list[int]):
+    def __init__(self, passages: list[np.ndarray], docs: list[int], grams: np.ndarray = np.zeros(0, U64)):
+        # two bits for each hash of a gram, by its first and its last bits: what is not there does not occur
+        self.gram_bits = int(len(grams) * GRAM_ROOM).bit_length()
+        seen = np.zeros(1 << self.gram_bits, bool)
+        for cell in self.cells(grams):
+            seen[cell] = True
+        self.seen = np.packbits(seen, bitorder="little")
         self.vocabulary, numbers = np.unique(np.concatenate(passages), return_inverse=True)
         lengths = np.array([len(p) for p in passages])
         self.docs, self.firsts = np.array(docs, np.int64), np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
@@ -103,7 +111,7 @@ class FMIndex:
         self.marks, self.samples = Bits(sampled), order[sampled].astype(np.uint32)
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.vocabulary, self.docs, self.firsts, self.size, self.count, [(s, b.words, b.before, z) for s, b, z in self.matrix.levels], self.matrix.begin, (self.marks.words, self.marks.before), self.samples))
+        return pickle.dumps((self.gram_bits, self.seen, self.vocabulary, self.docs, self.firsts, self.size, self.count, [(s, b.words, b.before, z) for s, b, z in self.matrix.levels], self.matrix.begin, (self.marks.words, self.marks.before), self.samples))
 
     @classmethod
     def load(cls, blob: bytes) -> FMIndex:
@@ -113,12 +121,23 @@ class FMIndex:
             return out
 
         self = cls.__new__(cls)
-        self.vocabulary, self.docs, self.firsts, self.size, self.count, levels, begin, marks, self.samples = pickle.loads(blob)
+        self.gram_bits, self.seen, self.vocabulary, self.docs, self.firsts, self.size, self.count, levels, begin, marks, self.samples = pickle.loads(blob)
         self.matrix = WaveletMatrix.__new__(WaveletMatrix)
         self.matrix.levels, self.matrix.begin = [(s, bits(w, b), z) for s, w, b, z in levels], begin
         self.marks = bits(*marks)
         return self
 
+    def cells(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = U64((1 << self.gram_bits) - 1)
+        return (grams & mask).astype(np.int64), (grams >> U64(32) & mask).astype(np.int64)
+
+    def may_hold(self, grams: np.ndarray) -> np.ndarray:
+        """Which grams may occur; false only of those that don't."""
+        out = np.ones(len(grams), bool)
+        for cell in self.cells(grams):
+            out &= (self.seen[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of word hashes; -1 for unknown words."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)

@@ -9,15 +9,14 @@ smaller doc_id.
    same way and give each repeated window's owner, the smallest doc_id with it.  However many documents hold a passage,
    its owner alone brings it into the library.
 2. Shards of the library become compressed FM-indexes, a task each.
-3. Documents stream past the indexes.  A window covers a whole block of BLOCK words that starts at a multiple of BLOCK; blocks
-   of windows that pass the filter are searched backwards over the wavelet matrix, all of a batch at once.  Over the windows
-   whose block occurs, backward search gives matching statistics: the longest matches, of which those of a window's length
-   or more are intervals.  A window occurs in one document of the library, its owner, so any place of an interval names it;
-   intervals whose owner has a smaller id are reported and removed.
+3. Documents stream past the indexes.  An index has a bit table of its windows' hashes, so windows that pass the filter go to the
+   indexes that may hold them and to no others.  There, backward search over the wavelet matrix, for all windows of a batch
+   at once, gives matching statistics: the longest matches, of which those of a window's length or more are intervals.  A
+   window occurs in one document of the library, its owner, so any place of an interval names it; intervals whose owner has a smaller id are reported and removed.
 
-The filter and the hashes only choose what is indexed; matches are found in the index.  Tasks read the indexes from the shared folder in rounds
-of at most ``SHIP_BYTES``; one round removes the words where the document is, more rounds write their stretches, which then
-join the documents.
+The filter, the hashes and the bit tables only choose what is indexed and which index is asked; matches are found in the index.
+Tasks read the indexes from the shared folder in rounds of at most ``SHIP_BYTES``; one round removes the words where the
+document is, more rounds write their stretches, which then join the documents.
 
 Defined cases: null text has no words; documents with a null id lose nothing and take nothing from others; equal ids are not
 smaller; kept words are joined by one space.
@@ -41,9 +40,8 @@ from .fmindex import FMIndex
 
 WINDOW = 50
 ANCHOR = 20
-BLOCK = 25
 #: So many first words of a window are searched before all of them, where a match has ended; runs of windows are cut to so many.
-PROBE, RUN = 8, 8
+PROBE, RUN = 8, 16
 #: Chunks of so many words together are searched at once: a step costs little more for more windows.
 POOL_WORDS = 4 << 20
 SHARD_WORDS = 1 << 21
@@ -202,7 +200,8 @@ def build_indexes(passages: DataFrame, n_shards: int, folder: str) -> DataFrame:
     """(shard, size, path): an FM-index of each shard of the library, written by its task to the shared folder under a name
     of its own; only those of tasks that ended are named."""
     def build(group: pa.Table) -> pa.Table:
-        blob = FMIndex([np.frombuffer(x, U64) for x in group.column("words").to_pylist()], group.column("doc_id").to_pylist()).dump()
+        passages = [np.frombuffer(x, U64) for x in group.column("words").to_pylist()]
+        blob = FMIndex(passages, group.column("doc_id").to_pylist(), np.concatenate([gram_hashes(x, WINDOW) for x in passages])).dump()
         fs, inner = pafs.FileSystem.from_uri(folder)
         fs.create_dir(inner, recursive=True)
         name = f"{uuid.uuid4().hex}.fm"
@@ -228,22 +227,18 @@ def opened(paths: list[str]) -> list[FMIndex]:
 
 
 def candidates(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, kept: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows whose anchor passes the filter, their rows, and the first whole block in each."""
+    """Starts of the windows whose anchor passes the filter, their rows, and their hashes."""
     w = Windows(hashes, first)
     starts = w.starts[in_bloom(*kept, w.least)]
     row = np.searchsorted(first, starts, "right") - 1
     starts, row = starts[known[row]], row[known[row]]
-    return starts, row, starts + (first[row] - starts) % BLOCK
+    return starts, row, gram_hashes(hashes, WINDOW)[starts]
 
 
-def covered(index: FMIndex, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def covered(index: FMIndex, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the stretches of words to remove: matches of a window's length with documents of smaller id than the
-    window's own (ids)."""
-    fresh = np.ones(len(block), bool)
-    fresh[1:] = block[1:] != block[:-1]
-    occurs = np.zeros(int(fresh.sum()), bool)
-    occurs[index.search(hashes, block[fresh], BLOCK)[0]] = True
-    inside = occurs[np.cumsum(fresh) - 1]
+    window's own (ids).  Windows that the index cannot hold by their hashes (grams) are left to the other indexes."""
+    inside = index.may_hold(grams)
     starts, ids = starts[inside], ids[inside]
     if not len(starts):
         return starts, starts
@@ -268,8 +263,8 @@ def _matches(indexes: list[FMIndex], kept: tuple[np.ndarray, int], batches: Iter
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for at, hashes, first in _chunks(batch.column(1)):
             rows = slice(at, at + len(first) - 1)
-            starts, row, block = candidates(hashes, first, known[rows], kept)
-            pool.append((batch, at, first, hashes, starts, ids[rows][row], block))
+            starts, row, grams = candidates(hashes, first, known[rows], kept)
+            pool.append((batch, at, first, hashes, starts, ids[rows][row], grams))
             if sum(len(x[3]) for x in pool) >= POOL_WORDS:
                 yield from _searched(indexes, pool)
                 pool = []
@@ -280,9 +275,9 @@ def _searched(indexes: list[FMIndex], pool: list[tuple]) -> Iterator[tuple[pa.Re
     if not pool:
         return
     base = np.concatenate([[0], np.cumsum([len(x[3]) for x in pool])])
-    hashes, ids = (np.concatenate([x[i] for x in pool]) for i in (3, 5))
-    starts, block = (np.concatenate([x[i] + b for x, b in zip(pool, base, strict=False)]) for i in (4, 6))
-    found = [covered(index, hashes, starts, ids, block) for index in indexes]
+    hashes, ids, grams = (np.concatenate([x[i] for x in pool]) for i in (3, 5, 6))
+    starts = np.concatenate([x[4] + b for x, b in zip(pool, base, strict=False)])
+    found = [covered(index, hashes, starts, ids, grams) for index in indexes]
     found = np.concatenate([np.stack(x, axis=1) for x in found] or [np.zeros((0, 2), np.int64)])
     found = found[np.argsort(found[:, 0], kind="stable")]
     cuts = np.searchsorted(found[:, 0], base)
