@@ -11,7 +11,8 @@ to 64-bit hashes of shingles.
    differences (shingles only the one, only the other has) are kept: the leader's computed answers.
 4. What lists may still hide are links between two members that star pairs do not connect.  Each list is cut into blocks of
    equal size, position and component by star pairs; blocks are paired only if size and position allow it and they are of
-   different components, so others are skipped whole.  For a remaining pair whose members both were compared with the
+   different components, so others are skipped whole; blocks meet by list and size class, and those of long lists in
+   several cells.  For a remaining pair whose members both were compared with the
    list's leader, the overlap follows from the leader's answers by the small differences alone; the rest are
    compared as whole sets.
 5. Components of the links give the smallest reachable doc_id.
@@ -25,6 +26,7 @@ component_id, and a component of null ids alone has a null one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ from .components import components
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 CELLS = 64
+#: Lists longer than this are paired in so many cells that each has about this many blocks a side.
+LIST_CELL = 1000
 #: Rows of (doc_id, class) up to which they are broadcast instead of shuffling all texts.
 BROADCAST_IDS = 2_000_000
 #: Column of keep_one_of_each alone.
@@ -247,14 +251,24 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
 
     # Lists of three and more, cut into blocks; a block's label is what its members are connected with by star pairs.
     label = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("cid"), F.col("root").alias("label"))
+    # Blocks meet by token and size class (similar sets lie in one class or in neighbours); those of long lists are dealt on
+    # a square of cells, so that a cell has a bounded number of blocks from either side.
+    width = math.log(100 / percent) + 1e-3
     blocks = (
         shared.filter("size > 2").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         .groupBy("token", "leader", "n", "i", "label", F.pmod("cid", F.lit(16)).alias("part"))
-        .agg(F.collect_list("cid").alias("members"))
+        .agg(F.collect_list("cid").alias("members"), F.first("size").alias("size"))
+        .withColumn("class", F.floor(F.log("n") / width))
+        .withColumn("cells", F.floor(F.col("size") / LIST_CELL) + 1)
+        .withColumn("cell", F.pmod(F.xxhash64("n", "i", "label", "part"), F.col("cells")))
     )
     blocks = materialize(blocks)
-    left, right = (blocks.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("leader", "n", "i", "label", "part", "members")]) for s in "xy")
-    block_pairs = left.join(right, "token").filter(
+    left, right = (blocks.select("token", "cells", "class", "cell", *[F.col(c).alias(f"{c}{s}") for c in ("leader", "n", "i", "label", "members")]) for s in "xy")
+    every = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    left = left.select("*", F.explode(every).alias("celly")).withColumnRenamed("cell", "cellx").drop("cells")
+    right = right.select("*", F.explode(every).alias("cellx")).withColumnRenamed("cell", "celly").drop("cells")
+    right = right.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    block_pairs = left.join(right, ["token", "class", "cellx", "celly"]).filter(
         (F.col("labelx") < F.col("labely")) & allowed(F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"), percent)
     )
     rest = block_pairs.select(F.col("leaderx").alias("leader"), "nx", "ny", F.explode("membersx").alias("x"), "membersy").select("leader", "nx", "ny", "x", F.explode("membersy").alias("y"))
