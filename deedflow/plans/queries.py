@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FIELD_NAMES, FIELDS, IDENTIFIERS
 from ..functions import text as T
+from ..functions.scratch import written
 from ..operators import compose, confidence, dashboard, duplicates, extract, layout, normalize, quality, review, store, validate
 from . import adapters as A
 
@@ -179,8 +180,8 @@ def dup_evidence(spark, sf_dir):
 
 @query
 def dup_best_match(spark, sf_dir):
-    ids, of = _ids(spark, sf_dir)
-    return duplicates.assess(ids, of)
+    # written once: matches, first records, their number and the result all read it
+    return duplicates.assess_records(written(duplicates.identified(rows(spark, sf_dir, A.RAW_WIDE))))
 
 
 @query
