@@ -14,6 +14,10 @@ def test_duplicates_read_the_records_once(spark, sf):
     assert "orders.parquet" not in plan_of(got)
 
 
+def test_summary_of_duplicates_reads_the_records_once(spark, sf):
+    assert "orders.parquet" not in plan_of(Q.QUERIES["dup_summary"](spark, sf))
+
+
 def test_identifiers_by_record_are_those_by_field(spark, sf):
     whole = duplicates.identified(A.spark_rows(spark, sf, A.RAW_WIDE))
     ids, of = Q._ids(spark, sf)
