@@ -181,7 +181,7 @@ def dup_evidence(spark, sf_dir):
 @query
 def dup_best_match(spark, sf_dir):
     # written once: matches, first records, their number and the result all read it
-    return duplicates.assess_records(written(duplicates.identified(rows(spark, sf_dir, A.RAW_WIDE))))
+    return duplicates.assess_records(written(duplicates.identified(rows(spark, sf_dir, A.RAW_WIDE))), written)
 
 
 @query

@@ -1,5 +1,9 @@
 """Plans of record queries that have to hold at sixty times sf0.1."""
 
+import glob
+import time
+
+from deedflow.functions.scratch import FREED, written
 from deedflow.operators import duplicates
 from deedflow.plans import adapters as A
 from deedflow.plans import queries as Q
@@ -23,3 +27,24 @@ def test_identifiers_by_record_are_those_by_field(spark, sf):
     ids, of = Q._ids(spark, sf)
     rows = duplicates.held_by(ids, of)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, rows.select(*whole.columns).collect()), key=str)
+
+
+def shuffled(spark):
+    """Files of shuffles that are on disk."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in manager.localDirsString() for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+
+def test_what_is_written_leaves_no_shuffle(spark):
+    before = shuffled(spark)
+    table = written(spark.range(1000).repartition(4, "id").groupBy("id").count())
+    ends = time.time() + 10  # executors are told to delete them
+    while shuffled(spark) - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not shuffled(spark) - before
+    assert table.count() == 1000 and spark.conf.get(FREED, "false") == "false"
+
+
+def test_steps_of_duplicates_end_in_a_table(spark, sf):
+    # the plan of the result holds neither the listed values nor the sets of identifiers
+    assert "xplode" not in plan_of(Q.QUERIES["dup_summary"](spark, sf))
