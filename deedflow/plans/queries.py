@@ -184,6 +184,11 @@ def dup_best_match(spark, sf_dir):
     return duplicates.assess_records(written(duplicates.identified(rows(spark, sf_dir, A.RAW_WIDE))), written)
 
 
+def _statuses(spark, sf_dir):
+    """Written, so that what duplicates shuffle is gone before records are scored."""
+    return written(dup_best_match(spark, sf_dir).select("document_id", "status"))
+
+
 @query
 def dup_summary(spark, sf_dir):
     return dup_best_match(spark, sf_dir).groupBy("status").agg(F.count("*").alias("records"), F.sum("n_compared").alias("compared"))
@@ -191,7 +196,7 @@ def dup_summary(spark, sf_dir):
 
 @query
 def conf_duplicate_risk(spark, sf_dir):
-    return confidence.with_duplicate_risk(conf_record(spark, sf_dir), dup_best_match(spark, sf_dir)).select("document_id", "record_confidence", "record_level", "duplicate_status", "duplicate_risk", "record_review")
+    return confidence.with_duplicate_risk(conf_record(spark, sf_dir), _statuses(spark, sf_dir)).select("document_id", "record_confidence", "record_level", "duplicate_status", "duplicate_risk", "record_review")
 
 
 def _review(spark, sf_dir):
@@ -215,7 +220,7 @@ def review_before_after(spark, sf_dir):
 
 @query
 def review_summary(spark, sf_dir):
-    return review.review_summary(_review(spark, sf_dir), dup_best_match(spark, sf_dir), review.duplicate_decisions(rows(spark, sf_dir, A.DECISIONS)))
+    return review.review_summary(_review(spark, sf_dir), _statuses(spark, sf_dir), review.duplicate_decisions(rows(spark, sf_dir, A.DECISIONS)))
 
 
 @query

@@ -48,3 +48,7 @@ def test_what_is_written_leaves_no_shuffle(spark):
 def test_steps_of_duplicates_end_in_a_table(spark, sf):
     # the plan of the result holds neither the listed values nor the sets of identifiers
     assert "xplode" not in plan_of(Q.QUERIES["dup_summary"](spark, sf))
+
+
+def test_statuses_are_written_before_records_are_scored(spark, sf):
+    assert "deedflow-" in plan_of(Q.QUERIES["conf_duplicate_risk"](spark, sf)) and "others" not in plan_of(Q.QUERIES["conf_duplicate_risk"](spark, sf))
