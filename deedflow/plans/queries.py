@@ -25,12 +25,14 @@ def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return A.spark_rows(spark, sf_dir, text)
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str, more: DataFrame | None = None) -> DataFrame:
     """A row for each record and field.  Records are dealt by document_id before the fields multiply them, which later groupings
-    by document_id use as it is."""
+    by document_id use as it is.  more: (document_id, one column) of some documents, a column of their fields."""
     records = rows(spark, sf_dir, A.RAW_WIDE).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
     fields = ", ".join(f"named_struct('field', '{f[0]}', 'ordinal', {i}, 'section', '{f[1]}', 'normalizer', '{f[2]}', 'validator', '{f[3]}', 'value', {f[0]})" for i, f in enumerate(FIELDS))
-    return records.selectExpr("document_id", "seq", f"inline(array({fields}))").selectExpr("*", *[f"{e} AS {c}" for c, e in A.PROVENANCE.items()])
+    held = records.columns[:2] if more is None else [*records.columns[:2], more.columns[1]]
+    records = records if more is None else records.join(more, "document_id", "left")
+    return records.selectExpr(*held, f"inline(array({fields}))").selectExpr("*", *[f"{e} AS {c}" for c, e in A.PROVENANCE.items()])
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +202,8 @@ def conf_duplicate_risk(spark, sf_dir):
 
 
 def _review(spark, sf_dir):
-    return review.apply_decisions(review.open_review(scored(spark, sf_dir)), rows(spark, sf_dir, A.DECISIONS))
+    fields = raw(spark, sf_dir, review.decisions_by_document(rows(spark, sf_dir, A.DECISIONS)))
+    return review.apply_decided(review.open_review(confidence.score_fields(validate.validate_fields(normalize.normalize_fields(fields)))))
 
 
 @query

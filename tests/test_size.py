@@ -4,7 +4,7 @@ import glob
 import time
 
 from deedflow.functions.scratch import FREED, written
-from deedflow.operators import duplicates
+from deedflow.operators import duplicates, review
 from deedflow.plans import adapters as A
 from deedflow.plans import queries as Q
 
@@ -52,3 +52,12 @@ def test_steps_of_duplicates_end_in_a_table(spark, sf):
 
 def test_statuses_are_written_before_records_are_scored(spark, sf):
     assert "deedflow-" in plan_of(Q.QUERIES["conf_duplicate_risk"](spark, sf)) and "others" not in plan_of(Q.QUERIES["conf_duplicate_risk"](spark, sf))
+
+
+def test_decisions_join_records_not_their_fields(spark, sf):
+    got = Q._review(spark, sf)
+    want = review.apply_decisions(review.open_review(Q.scored(spark, sf)), A.spark_rows(spark, sf, A.DECISIONS))
+    columns = ["document_id", "field", "decision", "verified_value", "reviewer"]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in x]
+    assert joins and not [x for x in joins if "field#" in x]
