@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import FIELDS, SECTIONS
-from ..functions.text import bind, clean_value, folded
+from ..functions.text import bind, clean_value, folded, stripped
 
 BETWEEN = r"[\s._:/|,\-]*"
 SOURCES = ["layout_relationship", "layout_same_line", "layout_below_label", "layout_table", "ocr_fallback", "composer_fallback"]
@@ -95,6 +95,16 @@ def below_labels(lines: DataFrame) -> DataFrame:
     return parsed(rows.select(*FOUND, "label", F.col("next_text").alias("raw"), F.concat_ws(" | ", "text", "next_text").alias("source_text"))).withColumn("evidence_type", F.lit("layout_below_label"))
 
 
+def beside_and_below(lines: DataFrame) -> DataFrame:
+    """What from_lines (as layout_same_line) and below_labels find, with each line's labels looked for once."""
+    order = Window.partitionBy("document_id", "page").orderBy("line_no")
+    rows = labelled(lines.withColumn("next_text", F.lead("text").over(order)).withColumn("next_header", F.lead("header").over(order)))
+    open_below = F.col("next_text").isNotNull() & F.col("next_header").isNull()
+    below = F.when(open_below, F.when(~F.col("next_text").rlike(ALL_LABELS), F.col("next_text")))
+    found = bind(rows, own=F.col("raw") != "").withColumn("raw", F.when(F.col("own"), F.col("raw")).otherwise(below)).filter("raw IS NOT NULL")
+    return parsed(found.select(*FOUND, "label", "raw", F.when(F.col("own"), "layout_same_line").otherwise("layout_below_label").alias("evidence_type")))
+
+
 def from_relationships(rels: DataFrame) -> DataFrame:
     """Relationships whose label names a field; rels: with section."""
     rows = bind(rels.filter("value IS NOT NULL").withColumnRenamed("value", "raw"), folded=folded(F.col("label")))
@@ -128,15 +138,16 @@ def first_wins(found: DataFrame) -> DataFrame:
 
 def named_section(text: Column) -> Column:
     """The first section whose name the folded text contains; unlike in layout, punctuation counts."""
-    plain = folded(text)
-    return F.coalesce(*[F.when(plain.contains(s.lower()), s) for s in SECTIONS])
+    plain, low = folded(text), F.lower(text)
+    longest = [max(s.lower().split(), key=len) for s in SECTIONS]  # cheaper to look for than the name in the folded text
+    return F.when(reduce(or_, [low.contains(w) for w in longest]), F.coalesce(*[F.when(plain.contains(s.lower()), s) for s in SECTIONS]))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
     """(document_id, page, line_no, text, header, section): lines that aren't blank of document_text, numbered from 0, with the
     section named last; no page is known."""
     rows = texts.select("document_id", F.posexplode(F.split("document_text", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")).alias("at", "text"))
-    rows = bind(rows, text=F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
+    rows = bind(rows, text=stripped(F.col("text"))).filter("text <> ''")
     order = Window.partitionBy("document_id").orderBy("at")
     rows = bind(rows, header=named_section(F.col("text")))
     return rows.select("document_id", F.lit(None).cast("int").alias("page"), (F.row_number().over(order) - 1).alias("line_no"), "text", "header", F.last("header", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("section"))
@@ -144,7 +155,7 @@ def text_lines(texts: DataFrame) -> DataFrame:
 
 def ocr_lines(lines: DataFrame) -> DataFrame:
     """Recognised lines (document_id, page, line_no, text) in the same shape, for extraction as the last resort."""
-    rows = bind(lines, text=F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")).filter("text <> ''")
+    rows = bind(lines, text=stripped(F.coalesce("text", F.lit("")))).filter("text <> ''")
     order = Window.partitionBy("document_id").orderBy("page", "line_no")
     rows = bind(rows, header=named_section(F.col("text")))
     return rows.withColumn("section", F.last("header", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))

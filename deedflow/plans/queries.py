@@ -519,9 +519,8 @@ def extract_below(spark, sf_dir):
 @query
 def extract_first_wins(spark, sf_dir):
     lines = _sectioned(spark, sf_dir)
-    rels = layout.relationships(_lines(spark, sf_dir)).join(lines.select(*layout.PAGE, "line_no", "section"), [*layout.PAGE, "line_no"])
     columns = ["document_id", "page", "line_no", "field", "value", "evidence_type"]
-    found = extract.from_relationships(rels).select(*columns).unionByName(extract.from_lines(lines, "layout_same_line").select(*columns)).unionByName(extract.below_labels(lines).select(*columns))
+    found = extract.from_relationships(layout.relationships(lines)).select(*columns).unionByName(extract.beside_and_below(lines).select(*columns))
     return extract.first_wins(found).select("document_id", "field", "value", "evidence_type", "line_no")
 
 
