@@ -15,8 +15,10 @@ smaller doc_id.
    window occurs in one document of the library, its owner, so any place of an interval names it; intervals whose owner has a smaller id are reported and removed.
 
 The filter, the hashes and the bit tables only choose what is indexed and which index is asked; matches are found in the index.
-Tasks read the indexes from the shared folder in rounds of at most ``SHIP_BYTES``; one round removes the words where the
-document is, more rounds write their stretches, which then join the documents.
+Tasks read the indexes from the shared folder.  Up to ``SHIP_BYTES`` of them, each task holds all and removes the words where the
+document is.  Beyond, a window belongs to the shard of its anchor, in the library as in the documents: runs of windows of one
+shard (with the words that they share with their neighbours) travel to tasks that hold that shard's indexes, and the stretches
+found join the documents.  So no document is read again for more indexes, and no window asks indexes of other shards.
 
 Defined cases: null text has no words; documents with a null id lose nothing and take nothing from others; equal ids are not
 smaller; kept words are joined by one space.
@@ -35,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_i64, binary, gram_hashes, materialize, mix, rows_of, scratch, text_chunks, words, worker_cache
+from .common import U64, as_i64, binary, gram_hashes, materialize, mix, partitions, rows_of, scratch, text_chunks, words, worker_cache
 from .fmindex import FMIndex
 
 WINDOW = 50
@@ -46,6 +48,10 @@ PROBE, RUN = 8, 16
 POOL_WORDS = 4 << 20
 SHARD_WORDS = 1 << 21
 SHIP_BYTES = 160 << 20
+#: About the bytes of an index for each word; and how many times the words of the library those of runs by anchor are.
+INDEX_BYTES, SHARED = 6, 4
+#: Runs for one shard are dealt to so many tasks.
+SPREAD = 8
 #: The filter has so many bits a key, up to a bound; a full filter lets more windows through and changes no result.
 BITS_PER_KEY = 16
 MAX_FILTER_BITS = 28
@@ -63,6 +69,12 @@ def sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
     return span if reach == width else best(span[: len(values) - width + 1], span[width - reach : width - reach + len(values) - width + 1])
 
 
+def window_starts(first: np.ndarray) -> np.ndarray:
+    """Places of the first words of all windows of rows."""
+    row = rows_of(first)
+    return np.flatnonzero(row[: max(0, len(row) - WINDOW + 1)] == row[WINDOW - 1 :])
+
+
 class Windows:
     """Windows of all rows of a chunk of texts."""
 
@@ -71,9 +83,7 @@ class Windows:
         self.least = np.zeros(0, U64)  # each window's anchor
         if len(hashes) < WINDOW:
             return
-        row = rows_of(first)
-        n = len(hashes) - WINDOW + 1
-        self.starts = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
+        self.starts = window_starts(first)
         self.least = sliding(gram_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1, np.minimum)[self.starts]
 
 
@@ -153,7 +163,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
                 row, value = _distinct(rows_of(first)[w.starts], w.least)
                 yield pa.RecordBatch.from_arrays([pa.array(as_i64(value)), batch.column(0).take(pa.array(row + at))], ["hash", "doc_id"])
 
-    kept = docs.sparkSession.sparkContext.broadcast(bloom(materialize(_repeated(docs, anchors))))
+    kept = docs.sparkSession.sparkContext.broadcast(bloom(materialize(_repeated(docs, anchors), freed=True)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, bits = kept.value
@@ -196,25 +206,122 @@ def library(docs: DataFrame, owned: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "own").mapInArrow(run, "doc_id long, n long, words binary")
 
 
-def build_indexes(passages: DataFrame, n_shards: int, folder: str) -> DataFrame:
-    """(shard, size, path): an FM-index of each shard of the library, written by its task to the shared folder under a name
+def build_indexes(passages: DataFrame, folder: str) -> DataFrame:
+    """(shard, path): an FM-index of the passages of each shard, written by its task to the shared folder under a name
     of its own; only those of tasks that ended are named."""
     def build(group: pa.Table) -> pa.Table:
         passages = [np.frombuffer(x, U64) for x in group.column("words").to_pylist()]
-        blob = FMIndex(passages, group.column("doc_id").to_pylist(), np.concatenate([gram_hashes(x, WINDOW) for x in passages])).dump()
+        grams = gram_hashes(np.concatenate(passages), WINDOW)[window_starts(np.concatenate([[0], np.cumsum([len(x) for x in passages])]))]
+        blob = FMIndex(passages, group.column("doc_id").to_pylist(), grams).dump()
         fs, inner = pafs.FileSystem.from_uri(folder)
         fs.create_dir(inner, recursive=True)
         name = f"{uuid.uuid4().hex}.fm"
         with fs.open_output_stream(f"{inner}/{name}") as out:
             out.write(blob)
-        return pa.table({"shard": group.column("shard").slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "path": pa.array([f"{folder}/{name}"])})
+        return pa.table({"shard": group.column("shard").slice(0, 1), "path": pa.array([f"{folder}/{name}"])})
+
+    return passages.groupBy("shard").applyInArrow(build, "shard long, path string")
+
+
+def runs_of(starts: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last of windows behind each other that belong to one shard."""
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (starts[1:] - starts[:-1] != 1) | (shard[1:] != shard[:-1])
+    first = np.flatnonzero(fresh)
+    return first, np.append(first[1:], len(starts))[: len(first)] - 1
+
+
+def shard_of(anchors: np.ndarray, n_shards: int) -> np.ndarray:
+    return (mix(anchors) % U64(n_shards)).astype(np.int64)
+
+
+def by_anchor(passages: DataFrame, n_shards: int, parts: np.ndarray | None = None) -> DataFrame:
+    """(shard, doc_id, n, words): the library's passages cut into runs of one shard.  With parts, the first index of each shard
+    (and one beyond the last), shard is the index: a shard of several deals its runs to them.  Without, words are null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), U64)
+            w = Windows(hashes, np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())]))
+            if not len(w.starts):
+                continue
+            of = shard_of(w.least, n_shards)
+            begin, last = runs_of(w.starts, of)
+            row = np.searchsorted(np.cumsum(batch.column(1).to_numpy()), w.starts[begin], "right")
+            shard, n = of[begin], last - begin + WINDOW
+            if parts is None:
+                cut = pa.nulls(len(begin), pa.binary())
+            else:
+                cut = binary([hashes[a : a + k].tobytes() for a, k in zip(w.starts[begin].tolist(), n.tolist(), strict=True)])
+                shard = parts[shard] + (gram_hashes(hashes, WINDOW)[w.starts[begin]] % (parts[shard + 1] - parts[shard]).astype(U64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(row)), pa.array(n), cut], ["shard", "doc_id", "n", "words"])
+
+    return passages.select("doc_id", "n", "words").mapInArrow(run, "shard long, doc_id long, n long, words binary")
+
+
+def asked(docs: DataFrame, anchors: Broadcast, n_shards: int, held: np.ndarray) -> DataFrame:
+    """(shard, lot, doc_id, of, start, words): the documents' runs of windows that pass the filter, by shard (those that hold
+    something), as text; of tells rows with one doc_id apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for at, _, data, offsets in text_chunks(batch.column(1)):
+                begins, ends, hashes, first = words(data, offsets, lower=False)
+                w = Windows(hashes, first)
+                keep = in_bloom(*anchors.value, w.least)
+                starts, of = w.starts[keep], shard_of(w.least[keep], n_shards)
+                keep = known[np.searchsorted(first, starts, "right") - 1 + at] & held[of]
+                starts, of = starts[keep], of[keep]
+                if not len(starts):
+                    continue
+                begin, last = runs_of(starts, of)
+                row = np.searchsorted(first, starts[begin], "right") - 1
+                raw, text = data.tobytes(), {r: text_hash(batch.column(1), r + at) for r in np.unique(row).tolist()}
+                cut = [raw[a:b] for a, b in zip(begins[starts[begin]].tolist(), ends[starts[last] + WINDOW - 1].tolist(), strict=True)]
+                text = np.array([text[r] for r in row.tolist()], np.int64)
+                cols = [pa.array(of[begin]), pa.array(text % SPREAD), batch.column(0).take(pa.array(row + at)), pa.array(text), pa.array(starts[begin] - first[row]), binary(cut)]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "lot", "doc_id", "of", "start", "words"])
+
+    return docs.mapInArrow(run, "shard long, lot long, doc_id long, of long, start long, words binary")
+
+
+def answered(runs: DataFrame, paths: list[list[str]]) -> DataFrame:
+    """(doc_id, start, end, of): the stretches to remove, of runs that are sorted by shard; paths: the indexes of each shard."""
+    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+        pool, of, n = [], -1, 0
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if pool and (shards[a] != of or n >= POOL_WORDS):
+                    yield of, pool
+                    pool, n = [], 0
+                parts = batch.column(5).slice(a, b - a).to_pylist()
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                _, _, hashes, first = words(np.frombuffer(b"".join(parts), np.uint8), offsets, lower=False)
+                pool.append((hashes, np.diff(first), *[batch.column(i).slice(a, b - a).to_numpy() for i in (2, 3, 4)]))
+                of, n = int(shards[a]), n + len(hashes)
+        if pool:
+            yield of, pool
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, pool in pools(batches):
+            hashes, n, ids, of, at = (np.concatenate(x) for x in zip(*pool, strict=True))
+            first = np.concatenate([[0], np.cumsum(n)])
+            starts = window_starts(first)
+            own, grams = ids[np.searchsorted(first, starts, "right") - 1], gram_hashes(hashes, WINDOW)[starts]
+            for index in opened(paths[shard]):
+                start, end = covered(index, hashes, starts, own, grams)
+                row = np.searchsorted(first, start, "right") - 1
+                move = at[row] - first[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], start + move, end + move, of[row])], ["doc_id", "start", "end", "of"])
 
-    shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("words")), F.lit(n_shards)).cast("long")
-    return passages.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard long, size long, path string")
+    return runs.mapInArrow(run, "doc_id long, start long, end long, of long")
 
 
 def opened(paths: list[str]) -> list[FMIndex]:
-    """The indexes of these files; a worker keeps those of the round it is in."""
+    """The indexes of these files; a worker keeps those it was last asked for."""
     kept = worker_cache().setdefault("indexes", {})
     for path in set(kept) - set(paths):
         del kept[path]
@@ -294,17 +401,9 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     windows, anchors = repeated_windows(docs)
-    passages = materialize(library(docs, windows))
+    passages = materialize(library(docs, windows), freed=True)
     n_words = passages.agg(F.sum("n")).first()[0] or 0
-    shards = materialize(build_indexes(passages, max(1, -(-n_words // shard_words)), scratch(spark)))
-    rounds: list[list[str]] = [[]]
-    room = ship_bytes
-    for r in shards.orderBy("shard").collect():
-        if r["size"] > room and rounds[-1]:
-            rounds.append([])
-            room = ship_bytes
-        rounds[-1].append(r["path"])
-        room -= r["size"]
+    folder = scratch(spark)
 
     def kept(part: pa.RecordBatch, at: int, first: np.ndarray, stretches: np.ndarray) -> pa.RecordBatch:
         gone = np.zeros(int(first[-1]) + 1, np.int64)
@@ -321,27 +420,27 @@ def remove_repeats(docs: DataFrame, ship_bytes: int = SHIP_BYTES, shard_words: i
         return pa.RecordBatch.from_arrays([part.column(0).slice(at, len(first) - 1), pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
     schema = "doc_id long, n_words long, n_removed long, text string"
-    if len(rounds) == 1:
+    if n_words * INDEX_BYTES <= ship_bytes:
+        shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("words")), F.lit(max(1, -(-n_words // shard_words)))).cast("long")
+        paths = [r["path"] for r in materialize(build_indexes(passages.withColumn("shard", shard), folder), freed=True).orderBy("shard").collect()]
+
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            indexes = opened(rounds[0])
+            indexes = opened(paths)
             for batch, at, first, stretches in _matches(indexes, anchors.value, batches):
                 yield kept(batch, at, first, stretches)
 
         return docs.mapInArrow(at_once, schema)
 
-    found = None
-    for some in rounds:
-        def one_round(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
-            indexes = opened(some)
-            for batch, at, first, where in _matches(indexes, anchors.value, batches):
-                row = np.searchsorted(first, where[:, 0], "right") - 1
-                of = {r: text_hash(batch.column(1), r + at) for r in set(row.tolist())}
-                cols = [pa.array(where[:, 0] - first[row]), pa.array(where[:, 1] - first[row]), pa.array([of[r] for r in row.tolist()], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), *cols], ["doc_id", "start", "end", "of"])
-
-        part = materialize(docs.mapInArrow(one_round, "doc_id long, start long, end long, of long"))
-        found = part if found is None else found.unionByName(part)
-    lists = found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "of")).alias("found"))
+    n_shards = -(-n_words * SHARED // shard_words)
+    sizes = np.zeros(n_shards, np.int64)
+    for r in by_anchor(passages, n_shards).groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        sizes[r["shard"]] = r["n"]
+    parts = np.concatenate([[0], np.cumsum(-(-sizes // (2 * shard_words)))])  # a shard of much more than its share has several indexes
+    built = dict(map(tuple, materialize(build_indexes(by_anchor(passages, n_shards, parts), folder), freed=True).collect()))
+    paths = [[built[i] for i in range(parts[s], parts[s + 1]) if i in built] for s in range(n_shards)]
+    runs = asked(docs, anchors, n_shards, sizes > 0).repartition(max(partitions(spark), -(-n_shards // 4)), "shard", "lot").sortWithinPartitions("shard")
+    found = materialize(answered(runs, paths), freed=True)
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "of")).alias("found"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

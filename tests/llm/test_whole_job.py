@@ -58,3 +58,18 @@ def test_rows_of_one_id_lose_their_own_stretches(make, rnd):
     want = sorted([(1, 0, p), (2, 0, q), (9, 130, x), (9, 130, y), (9, 130, x)])
     for sizes in ({}, {"ship_bytes": 1, "shard_words": 50}):
         assert sorted((r.doc_id, r.n_removed, r.text) for r in substrings.remove_repeats(make(rows), **sizes).collect()) == want
+
+
+def test_documents_are_not_read_again_for_more_indexes(spark, make, rnd):
+    passages = [words(rnd, 90, 3000) for _ in range(40)]
+    rows = [(i, f"{words(rnd, 5)} {passages[i % 40]} {passages[(i * 7 + 1) % 40]}") for i in range(120)]
+
+    def jobs(shard_words):
+        group = f"indexes of {shard_words}"
+        spark.sparkContext.setJobGroup(group, group)
+        done = substrings.remove_repeats(make(rows), ship_bytes=1, shard_words=shard_words).agg(F.sum("n_removed")).first()[0]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return done, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (few, n_few), (many, n_many) = jobs(4000), jobs(100)
+    assert few == many > 0 and n_many < n_few + 10
