@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -24,12 +23,13 @@ AREA = r"(?i)\b\d+(?:\.\d+)?(?:\s*(?:acres?|hectares?|ha|sq\.?\s*m|sqm))?"
 
 def label_pattern(label: str) -> str:
     """Words of a label with separators between."""
-    return r"\b" + BETWEEN.join(map(re.escape, re.findall("[A-Za-z0-9]+", label))) + r"\.?\b"
+    return BETWEEN.join(map(re.escape, re.findall("[A-Za-z0-9]+", label)))
 
 
 def any_of(labels: list[str]) -> str:
-    """Matches at the earliest place, there the longest label."""
-    return "(?i)(?:" + "|".join(label_pattern(x) for x in sorted(set(labels), key=lambda x: (-len(x), x))) + ")"
+    """Matches at the earliest place, there the longest label.  Places that begin no word, or none of a label, are left at once."""
+    initials = "".join(sorted({re.findall("[a-z0-9]", x.lower())[0] for x in labels}))
+    return rf"(?i)\b(?=[{initials}])(?:" + "|".join(label_pattern(x) for x in sorted(set(labels), key=lambda x: (-len(x), x))) + r")\.?\b"
 
 
 EVERY = [x for f in FIELDS for x in f[4]]
@@ -41,38 +41,54 @@ def may_hold(low: Column, labels: list[str]) -> Column:
     return reduce(or_, [low.contains(w) for w in sorted({re.findall("[a-z0-9]+", x.lower())[0] for x in labels})])
 
 
-def parse(field: Column, clean: Column) -> Column:
-    """What counts of a cleaned value for a field; null if nothing does."""
+def part_of(field: Column, clean: Column) -> Column:
+    """The part of a cleaned value that a field takes; null if there is none."""
     first = lambda p: F.regexp_substr(clean, F.lit(p))
-    out = (
+    return (
         F.when(field.isin("mutation_date", "registration_date"), first(DATE)).when(field.isin("survey_number", "khasra_number", "khata_number"), first(LAND))
         .when(field == "mutation_entry_number", first(MUTATION)).when(field == "registered_document_number", F.coalesce(first(DOCUMENT), first(r"\b\d{2,}\b")))
-        .when(field == "plot_area", clean_value(first(AREA))).otherwise(clean)
+        .when(field == "plot_area", first(AREA)).otherwise(clean)
     )
-    return F.nullif(out, F.lit(""))
+
+
+def parse(rows: DataFrame, name: str = "value") -> DataFrame:
+    """Adds what counts of a cleaned value (clean) for its field; null if nothing does.  Each step names few columns: the code of
+    all at once would not be compiled to machine code."""
+    rows = bind(rows, part=part_of(F.col("field"), F.col("clean")))
+    rows = bind(rows, part=F.when(F.col("field") == "plot_area", clean_value(F.col("part"))).otherwise(F.col("part")))
+    return rows.withColumn(name, F.when(F.col("part") != "", F.col("part"))).drop("part")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
     """Rows (field, raw) with value, where raw has one."""
-    return bind(bind(rows, clean=clean_value(F.col("raw"))), value=parse(F.col("field"), F.col("clean"))).drop("clean").filter("value IS NOT NULL")
+    return parse(bind(rows, clean=clean_value(F.col("raw")))).drop("clean").filter("value IS NOT NULL")
+
+
+#: Fields whose labels are looked for in one step: generated methods of more would not be compiled to machine code.
+AT_ONCE = 5
 
 
-def fields_with(text: Column, low: Column, made: Callable[[str], dict[str, Column]]) -> Column:
-    """An array of (field, field_section, ...) for the catalogue's fields with a label in the text (low: in lower case), in the
-    line's section."""
+def with_fields(rows: DataFrame, text: Column, low: Column, label: bool) -> DataFrame:
+    """Rows by field of the catalogue with a label in the text (low: in lower case), in the line's section: field, field_section, and
+    on demand the label and its place (at)."""
     def one(name: str, section: str, labels: list[str]) -> Column:
-        open_to = F.col("section").isNull() | (F.col("section") == section)
-        return F.when(open_to & may_hold(low, labels) & text.rlike(any_of(labels)), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"), *[c.alias(n) for n, c in made(any_of(labels)).items()]))
+        p = F.lit(any_of(labels))
+        open_to = (F.col("section").isNull() | (F.col("section") == section)) & may_hold(low, labels)
+        own = [F.regexp_substr(text, p).alias("label"), F.regexp_instr(text, p).alias("at")] if label else []
+        return F.when(open_to if label else open_to & text.rlike(any_of(labels)), F.struct(F.lit(name).alias("field"), F.lit(section).alias("field_section"), *own))
 
-    return F.array_compact(F.array(*[one(name, section, labels) for name, section, _, _, labels in FIELDS]))
+    every = [one(name, section, labels) for name, section, _, _, labels in FIELDS]
+    parts = [f"hits_{i}" for i in range(0, len(every), AT_ONCE)]
+    for i, part in zip(range(0, len(every), AT_ONCE), parts, strict=True):
+        rows = bind(rows, **{part: F.array_compact(F.array(*every[i : i + AT_ONCE]))})
+    rows = rows.select("*", F.inline(F.concat(*parts))).drop(*parts)
+    return rows.filter("label IS NOT NULL") if label else rows
 
 
 def labelled(lines: DataFrame) -> DataFrame:
     """Lines by field whose label they hold: label, and raw, the text from there to the next label of any field."""
     text = F.col("text")
-    hits = fields_with(text, F.col("low"), lambda p: {"label": F.regexp_substr(text, F.lit(p)), "at": F.regexp_instr(text, F.lit(p))})
-    rows = bind(bind(lines, low=F.lower(text)), hits=hits).drop("low")
-    rows = rows.select("*", F.inline("hits")).drop("hits").withColumn("label", F.lower("label"))
+    rows = with_fields(bind(lines, low=F.lower(text)), text, F.col("low"), label=True).drop("low").withColumn("label", F.lower("label"))
     rows = bind(rows, rest=F.substring(text, F.col("at") + F.length("label"), F.lit(1 << 30)))
     rows = bind(rows, upto=F.when(may_hold(F.lower("rest"), EVERY), F.regexp_instr("rest", F.lit(ALL_LABELS))).otherwise(0))
     return bind(rows, raw=clean_value(F.when(F.col("upto") > 0, F.substring("rest", F.lit(1), F.col("upto") - 1)).otherwise(F.col("rest")))).drop("at", "rest", "upto")
@@ -108,7 +124,7 @@ def beside_and_below(lines: DataFrame) -> DataFrame:
 def from_relationships(rels: DataFrame) -> DataFrame:
     """Relationships whose label names a field; rels: with section."""
     rows = bind(rels.filter("value IS NOT NULL").withColumnRenamed("value", "raw"), folded=folded(F.col("label")))
-    hits = rows.select("*", F.inline(fields_with(F.col("folded"), F.col("folded"), lambda _: {})))
+    hits = with_fields(rows.withColumnRenamed("label", "said"), F.col("folded"), F.col("folded"), label=False).withColumnRenamed("said", "label")
     return parsed(hits.select(*FOUND, "raw", F.lower("label").alias("label"), F.concat_ws(": ", "label", "raw").alias("source_text"))).withColumn("evidence_type", F.lit("layout_relationship"))
 
 

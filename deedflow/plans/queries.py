@@ -541,7 +541,7 @@ def extract_table_rows(spark, sf_dir):
 @query
 def extract_parse(spark, sf_dir):
     r = raw(spark, sf_dir)
-    return T.bind(r, clean=T.clean_value(F.col("value"))).select("document_id", "field", extract.parse(F.col("field"), F.col("clean")).alias("parsed"))
+    return extract.parse(T.bind(r, clean=T.clean_value(F.col("value"))), "parsed").select("document_id", "field", "parsed")
 
 
 @query

@@ -1,10 +1,12 @@
 """Plans of record queries that have to hold at sixty times sf0.1."""
 
 import glob
+import re
 import time
 
+from deedflow.catalog import FIELD_NAMES
 from deedflow.functions.scratch import FREED, written
-from deedflow.operators import duplicates, review
+from deedflow.operators import duplicates, review, validate
 from deedflow.plans import adapters as A
 from deedflow.plans import queries as Q
 
@@ -78,3 +80,23 @@ def test_extraction_reads_lines_for_relationships_and_for_labels(spark, sf):
 
 def test_composition_uses_relationships_once(spark, sf):
     assert scans_of_orders(Q.QUERIES["compose_text"](spark, sf)) <= 6
+
+
+def test_fields_are_completed_without_finding_them_again(spark, sf):
+    assert scans_of_orders(Q.QUERIES["extract_complete"](spark, sf)) == 2
+
+
+def test_completed_keeps_rows_and_adds_fields(spark):
+    held = spark.createDataFrame([("a", "village", 1), ("a", "village", 2), ("a", "other", 3), ("b", "other", 4)], "document_id string, field string, n int")
+    got = [(r.document_id, r.field, r.n) for r in validate.completed(held).collect()]
+    want = [(d, f, None) for d in "ab" for f in FIELD_NAMES if (d, f) != ("a", "village")] + [("a", "village", 1), ("a", "village", 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_code_of_extraction_is_small_enough_to_be_compiled(spark, sf):
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package
+    for name in ("extract_text_fallback", "extract_complete"):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code.codegenString(plan)))) < 8000
