@@ -80,9 +80,8 @@ def with_fields(rows: DataFrame, text: Column, low: Column, label: bool) -> Data
     every = [one(name, section, labels) for name, section, _, _, labels in FIELDS]
     parts = [f"hits_{i}" for i in range(0, len(every), AT_ONCE)]
     for i, part in zip(range(0, len(every), AT_ONCE), parts, strict=True):
-        rows = bind(rows, **{part: F.array_compact(F.array(*every[i : i + AT_ONCE]))})
-    rows = rows.select("*", F.inline(F.concat(*parts))).drop(*parts)
-    return rows.filter("label IS NOT NULL") if label else rows
+        rows = bind(rows, **{part: F.array(*every[i : i + AT_ONCE])})  # no lambda: one would have all of the step interpreted
+    return rows.select("*", F.inline(F.concat(*parts))).drop(*parts).filter("label IS NOT NULL" if label else "field IS NOT NULL")
 
 
 def labelled(lines: DataFrame) -> DataFrame:

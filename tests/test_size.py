@@ -100,3 +100,9 @@ def test_code_of_extraction_is_small_enough_to_be_compiled(spark, sf):
         plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()
         spark.conf.unset("spark.sql.adaptive.enabled")
         assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code.codegenString(plan)))) < 8000
+
+
+def test_steps_that_look_for_labels_hold_no_lambda(spark, sf):
+    plan = Q.QUERIES["extract_text_fallback"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x for x in plan.split("\n") if re.search(r"Generate .*_bound_(some|hits)_\d", x)]
+    assert steps and not [x for x in steps if "lambda" in x]
